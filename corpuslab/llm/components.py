@@ -1,8 +1,9 @@
 """Connected components over an edge table, by alternating large and small stars.
 
-Every step is a join of the edges with one minimum a node. The minima are
-written out first, so both sides of the join are exchanged and Spark may
-split a hub's edges over many tasks. Nothing is collected but three sums.
+Every step joins the edges with one minimum a node. The minima are written out and
+counted: a small table of them is broadcast, a large one is shuffled, and as both sides of
+that join are exchanges then, Spark may split a hub's edges over many tasks. Nothing is
+collected but three sums.
 """
 
 from __future__ import annotations
@@ -10,24 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.shared import materialise
+from corpuslab.llm.shared import materialise, maybe_broadcast
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    return materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
+    return maybe_broadcast(least, least.count())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each larger neighbour is linked to the least of the neighbourhood, the node itself included."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _minima(both).select("a", F.least("a", "m").alias("m"))
-    # each larger neighbour is linked to the least of the neighbourhood
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _minima(both)
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = _minima(edges)
-    moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    """Each node and its smaller neighbours are linked to the least of those."""
+    moved = edges.join(_minima(edges), "a")
+    rows = moved.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+    return rows.select("x.a", "x.b").filter("a > b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -39,7 +42,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     sums = lambda e: e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     seen = sums(now)
     for _ in range(max_rounds if seen[0] else 0):
-        now = materialise(_small_star(materialise(_large_star(now), "large")), "small")
+        now = materialise(_small_star(_large_star(now)), "small")
         if (new := sums(now)) == seen:
             break
         seen = new
