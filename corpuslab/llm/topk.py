@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.shared import materialise
 
-LEVELS = 8
+LEVELS = 16
 
 
 class ImpactIndex:
@@ -47,45 +47,46 @@ class ImpactIndex:
         level = (vectors - self.low) // width
         key = (level + np.arange(dims) * levels).T.ravel()  # dimension by dimension
         order = np.argsort(key, kind="stable")
-        self.ids = np.tile(np.arange(n), dims)[order].astype(np.int32)
+        self.ids = np.tile(np.arange(n), dims)[order]
         self.cuts = np.searchsorted(key[order], np.arange(dims * levels + 1))
         self.floor = (self.low[:, None] + width[:, None] * np.arange(levels)).ravel()  # least value of each segment
         self.top = np.minimum(self.floor + np.repeat(width, levels) - 1, np.repeat(self.high, levels))
         self.dims, self.levels = dims, levels
 
     def search(self, query: np.ndarray, k: int, enough: int, rounds: int = 8) -> np.ndarray:
-        """Rows that can be among the best k: a superset, whose size is near `enough` if it was proved early."""
-        q = np.repeat(query, self.levels)
+        """Rows that can be among the best k: a superset, of at most `enough` rows unless all segments were needed."""
         n = len(self.vectors)
-        worst = np.minimum(query * self.low, query * self.high)  # of each dimension: the shift
-        least = np.minimum(q * self.floor, q * self.top) - np.repeat(worst, self.levels)
-        most = np.maximum(q * self.floor, q * self.top) - np.repeat(worst, self.levels)
+        if n <= k:
+            return np.arange(n)
+        q = np.repeat(query, self.levels)
+        worst = np.repeat(np.minimum(query * self.low, query * self.high), self.levels)  # the shift of each dimension
+        a, b = q * self.floor - worst, q * self.top - worst
+        least, most = np.minimum(a, b), np.maximum(a, b)
         sizes = np.diff(self.cuts)
+        # what quantising can hide in a sum, at most
+        hidden = int(((most - least) * (sizes > 0)).reshape(self.dims, self.levels).max(axis=1).sum())
         order = np.argsort(-most, kind="stable")
         order = order[sizes[order] > 0]
         done = np.cumsum(sizes[order])
-        lower = np.zeros(n)  # what is certain
-        slack = np.zeros(n)  # what quantising hides
-        seen = np.zeros(n)
-        at = 0
-        for r in range(rounds):
-            upto = max(at + 1, int(np.searchsorted(done, done[-1] * (r + 1) / rounds, side="left")) + 1) if r + 1 < rounds else len(order)
+        # one sum holds the impacts (low digits) and the number of dimensions seen (high digits), exactly
+        unit = 1 << int(most.reshape(self.dims, self.levels).max(axis=1).sum() + 1).bit_length()
+        if unit * (self.dims + 1) >= 1 << 53:
+            return np.arange(n)  # too large to add up exactly: all are rescored
+        total, at = np.zeros(n), 0
+        for r in range(1, rounds + 1):
+            upto = len(order) if r == rounds else max(at + 1, int(np.searchsorted(done, done[-1] * r / rounds)) + 1)
             part = order[at:upto]
-            if len(part):
-                ids = np.concatenate([self.ids[self.cuts[s] : self.cuts[s + 1]] for s in part.tolist()])
-                size = sizes[part]
-                lower += np.bincount(ids, weights=np.repeat(least[part], size), minlength=n)
-                slack += np.bincount(ids, weights=np.repeat((most - least)[part], size), minlength=n)
-                seen += np.bincount(ids, minlength=n)
+            ids = np.concatenate([self.ids[self.cuts[s] : self.cuts[s + 1]] for s in part.tolist()])
+            total += np.bincount(ids, weights=np.repeat(most[part] + unit, sizes[part]), minlength=n)
             at = upto
-            rest = float(most[order[at]]) if at < len(order) else 0.0  # no open segment adds more
-            upper = lower + slack + (self.dims - seen) * rest
-            if n <= k:
-                return np.arange(n)
-            bar = np.partition(lower, n - k)[n - k]
-            possible = upper >= bar
-            if at >= len(order) or int(possible.sum()) <= enough:
-                return np.flatnonzero(possible)
+            rest = int(most[order[at]]) if at < len(order) else 0  # no open segment adds more
+            seen = np.floor(total / unit)
+            reached = total - seen * unit
+            upper = reached + (self.dims - seen) * rest
+            bar = np.partition(reached, n - k)[n - k] - hidden  # k rows have at least this
+            possible = np.flatnonzero(upper >= bar)
+            if len(possible) <= enough or at >= len(order):
+                return possible
         raise AssertionError("the last round leaves no segment")
 
 
@@ -97,12 +98,13 @@ def _search(k: int, enough: int):
         matrix = lambda t: np.array(t.column("v").combine_chunks().flatten().to_numpy(), dtype=np.int64).reshape(t.num_rows, -1)
         ids = vectors.column("vec_id").to_numpy()
         x = matrix(vectors)
-        index = ImpactIndex(x)
+        index, exact = ImpactIndex(x), x.astype(np.float64)
+        small = int(np.abs(x).max()) ** 2 * x.shape[1] < 1 << 52  # sums are exact as doubles
         out: tuple[list, list, list] = ([], [], [])
         for qid, q in zip(queries.column("vec_id").to_numpy().tolist(), matrix(queries), strict=True):
             rows = index.search(q, k + 1, enough)  # one more, as the query itself may be among them
             rows = rows[ids[rows] != qid]
-            score = x[rows] @ q
+            score = (exact[rows] @ q.astype(np.float64)).astype(np.int64) if small else x[rows] @ q
             best = np.lexsort((ids[rows], -score))[:k]
             out[0].extend([qid] * len(best))
             out[1].extend(ids[rows][best].tolist())
@@ -120,7 +122,7 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     return rows.select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 2048, query_block: int = 1024, enough: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 2048, query_block: int = 1024, enough: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. is_query: a condition over vec_id."""
     rows = materialise(quantised(vectors, scale).dropDuplicates(["vec_id"]), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
