@@ -1,15 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
-Each batch of documents is reduced to its distinct words (Arrow). Every distinct word passes through
+The documents of a task are reduced to their distinct words (Arrow). Every distinct word passes through
 Spark as one row, an array of its bytes. There a higher-order function
-folds the ranked merges over the array: each step looks up the ranks of all adjacent
-pairs in a literal rank map and merges the first pair of the lowest rank. Decoding
-looks up the bytes of each id in a literal array and concatenates them. The next Arrow stage puts words together to
+folds the ranked merges over the array: each step merges the first pair of the lowest rank and
+looks up the ranks of the two pairs that it makes in a literal rank map. Decoding
+looks up the bytes of each id in a literal and concatenates them. The next Arrow stage puts words together to
 documents. All of it is one narrow stage: nothing is shuffled, and a lost task is run again alone.
 
-The literal rank map is a cuckoo table: pair (a, b) of ids is the number a * 65536 + b, found in
-one of two places, so a look-up is two array reads at most. Its entry holds the pair and
-the id that both merge to, which is the rank too.
+The literal rank map is a cuckoo table in one byte array: a pair of ids stands at one of two places, which its hash gives, so
+a look-up reads two entries. An entry holds the pair and the id that both merge to, which is the rank too.
 
 Words of over LONG bytes, for which the fold's quadratic time is no longer bounded usefully, are merged in the
 Arrow stage through a heap, by the same ranks (n log n).
@@ -29,20 +28,27 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.packing import _bounded
-from corpuslab.llm.pieces import Splitter, gather
+from corpuslab.llm.pieces import Splitter, bounded
 
 LONG = 128
-#: Odd multipliers below 2**30: a * 65536 + b is below 2**32, so products stay below 2**62.
-MULTIPLIERS = (0x2545F491, 0x1B873593)
-#: Of a product the bits from here on are the place: low enough that neighbours fall far apart.
-SHIFT = 20
+#: Bytes of text whose words are encoded at once. Two Arrow stages run in each task, so this is kept small.
+SLICE = 4 << 20
+#: Words that a task remembers at most, so that each is encoded once.
+WORDS = 400_000
+#: Words of a document that are put together at once.
+CODES = 1 << 18
+#: Bytes of an id, of a pair and of an entry of the rank map (pair, then the id that it merges to).
+ID, PAIR, ENTRY = 2, 4, 6
+#: Stands for "no merge" among ranks, and before the first and after the last id of a word.
+NONE = b"\xff\xff"
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -55,75 +61,101 @@ def pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def _place(key: int, which: int, bits: int) -> int:
-    return (key * MULTIPLIERS[which] >> SHIFT) & ((1 << bits) - 1)
+def _id(i: int) -> bytes:
+    return i.to_bytes(ID, "big")
 
 
-def cuckoo(merges: dict[tuple[int, int], int]) -> tuple[list[int], int]:
-    """A table in which each pair stands at one of its two places; -1 is free."""
+def _places(pair: bytes, bits: int) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(pair, 42)  # as Spark's xxhash64
+    return h & ((1 << bits) - 1), h >> 32 & ((1 << bits) - 1)
+
+
+def cuckoo(merges: dict[tuple[int, int], int]) -> tuple[bytes, int]:
+    """A table of entries in which each pair stands at one of its two places. A free place holds a pair that cannot occur."""
     bits = max(4, (2 * len(merges)).bit_length())
+    items = [(pair, _id(r)) for (a, b), r in merges.items() for pair in (_id(a) + _id(b),)]
     while True:
-        table = [-1] * (1 << bits)
-        for (a, b), r in merges.items():
-            entry, which = (a << 16 | b) << 16 | r, 0
+        table: list[tuple[bytes, bytes] | None] = [None] * (1 << bits)
+        for item in items:
+            at = _places(item[0], bits)[0]
             for _ in range(500):
-                at = _place(entry >> 16, which, bits)
-                table[at], entry = entry, table[at]
-                if entry < 0:
+                table[at], item = item, table[at]
+                if item is None:
                     break
-                which = 1 if at == _place(entry >> 16, 0, bits) else 0
+                first, second = _places(item[0], bits)
+                at = second if at == first else first
             else:
                 break
         else:
-            return table, bits
+            return b"".join(e[0] + e[1] if e else NONE * 3 for e in table), bits
         bits += 1
 
 
-def _numbers(values: list[int], kind: str) -> Column:
-    """A literal array: the cast of a split string is folded once, when the query is planned."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 class RankMap:
+    """Literals of one byte array each: cheap to send to tasks, read in place by substring. Ids and ranks are two
+    bytes, the high one first, so that their order as binary is that of the numbers."""
+
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("ranks must be below 65536 and hold every byte")
-        self.ranks = ranks
-        self.merges = pairs(ranks)
-        entries, self.bits = cuckoo(self.merges)
-        self.table = _numbers(entries, "bigint")
-        self.bytes = _numbers([ranks[bytes([b])] for b in range(256)], "int")
+        if max(ranks.values()) >= 0xFFFF or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must be below 65535 and hold every byte")
+        merges = pairs(ranks)
+        table, self.bits = cuckoo(merges)
+        self.table = F.lit(table)
+        ids = [ranks[bytes([b])] for b in range(256)]
+        self.bytes = F.lit(b"".join(map(_id, ids)))
+        self.byte_pairs = F.lit(b"".join(_id(merges[a, b]) if (a, b) in merges else NONE for a in ids for b in ids))
         by_id = {r: t for t, r in ranks.items()}
-        self.pieces = F.split(F.lit(",".join(by_id.get(i, b"").hex() for i in range(max(by_id) + 1))), ",")
+        # where the bytes of each id start among all, three bytes each
+        starts = list(accumulate((len(by_id.get(i, b"")) for i in range(max(by_id) + 2)), initial=0))
+        self.starts = F.lit(b"".join(x.to_bytes(3, "big") for x in starts))
+        self.pieces = F.lit(b"".join(by_id.get(i, b"") for i in range(max(by_id) + 1)))
 
-    def merged(self, a: Column, b: Column) -> Column:
-        """The id that the pair merges to, or null."""
-        key = F.shiftleft(a.cast("bigint"), 16).bitwiseOR(b.cast("bigint"))
+    def rank(self, pair: Column) -> Column:
+        """The id that a pair of ids (four bytes) merges to, NONE if it doesn't."""
         mask = F.lit((1 << self.bits) - 1).cast("bigint")
-        found = [F.get(self.table, F.shiftright(key * F.lit(m).cast("bigint"), SHIFT).bitwiseAND(mask).cast("int")) for m in MULTIPLIERS]
-        return F.coalesce(*[F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535).cast("bigint"))) for e in found])
+        places = F.array(F.xxhash64(pair).bitwiseAND(mask), F.shiftrightunsigned(F.xxhash64(pair), 32).bitwiseAND(mask))
+        found = F.transform(places, lambda at: F.substring(self.table, at.cast("int") * ENTRY + 1, F.lit(ENTRY)))
+        own = F.get(F.filter(found, lambda e: F.startswith(e, pair)), F.lit(0))
+        return F.coalesce(F.substring(own, F.lit(PAIR + 1), F.lit(ID)), F.lit(NONE))
 
     def encode(self, word: Column) -> Column:
-        """word: array of bytes as numbers. The fold runs as often as merges are possible at most, and
-        does nothing once no pair is left."""
-        start = F.transform(word, lambda b: F.get(self.bytes, b.cast("int")))
-
-        def step(ids: Column, _: Column) -> Column:
-            # rank and place of every pair in one number: the least is the first pair of the lowest rank
-            best = F.array_min(F.transform(ids, lambda a, i: F.shiftleft(self.merged(a, F.get(ids, i + 1)), 16).bitwiseOR(i.cast("bigint"))))
-            # a fold over one element gives it a name
-            return F.aggregate(F.array(best), ids, lambda now, m: F.when(m.isNull(), now).otherwise(merge(now, m)))
-
-        def merge(ids: Column, m: Column) -> Column:
-            at = m.bitwiseAND(F.lit(65535).cast("bigint")).cast("int")
-            return F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(m, 16).cast("int")), F.slice(ids, at + 3, F.greatest(F.size(ids) - at - 2, F.lit(0))))
+        """word: array of bytes as numbers; returns the array of ids. The fold runs as often as merges are possible at
+        most, and does nothing once no pair is left. Its state is the ids and the ranks of adjacent pairs, so that a
+        merge looks up two pairs only."""
+        edge = F.array(F.lit(NONE))
+        ids = F.concat(edge, F.transform(word, lambda b: F.substring(self.bytes, b.cast("int") * ID + 1, F.lit(ID))), edge)
+        both = lambda a, b: F.shiftleft(a.cast("int"), 8).bitwiseOR(b.cast("int"))
+        inner = F.transform(F.slice(word, F.lit(1), F.size(word) - 1), lambda a, i: F.substring(self.byte_pairs, both(a, F.get(word, i + 1)) * ID + 1, F.lit(ID)))
+        start = F.struct(ids.alias("ids"), F.concat(edge, inner, edge).alias("ranks"))
+        many = F.lit(2 * LONG)
+
+        def step(s: Column, _: Column) -> Column:
+            place = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")  # the first of the lowest rank
+            # a transform over one element gives the place a name
+            done = F.get(F.transform(F.array(place), lambda at: merge(s["ids"], s["ranks"], at)), F.lit(0))
+            return F.when(F.array_min(s["ranks"]) < F.lit(NONE), done).otherwise(s)
+
+        def merge(ids: Column, ranks: Column, at: Column) -> Column:
+            made = F.get(ranks, at - 1)
+            fresh = F.array(F.concat(F.get(ids, at - 2), made), F.concat(made, F.get(ids, at + 1)))
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(made), F.slice(ids, at + 2, many)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), F.transform(fresh, self.rank), F.slice(ranks, at + 2, many)).alias("ranks"),
+            )
 
         rounds = F.when(F.size(word) > 1, F.sequence(F.lit(1), F.size(word) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(rounds, start, step)
+        folded = F.aggregate(rounds, start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+        return F.when(F.size(word) > 0, folded).otherwise(F.array().cast("array<binary>"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        number = lambda b: F.conv(F.hex(b), 16, 10).cast("int")
+
+        def piece(i: Column) -> Column:
+            bounds = F.transform(F.array(number(i)), lambda k: F.substring(self.starts, k * 3 + 1, F.lit(6)))
+            return F.get(F.transform(bounds, lambda b: F.substring(self.pieces, number(F.substring(b, F.lit(1), F.lit(3))) + 1, number(F.substring(b, F.lit(4), F.lit(3))) - number(F.substring(b, F.lit(1), F.lit(3))))), F.lit(0))
+
+        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, piece(i)))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -164,23 +196,64 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     return _stages(docs, ranks, pattern, digests=True)
 
 
+class Pile:
+    """Arrays of words, joined, with their lengths."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.sizes, self.whole = [], [], None
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.append(flat.astype(self.kind, copy=False))
+        self.sizes.append(sizes.astype(np.int64))
+        self.whole = None
+
+    def add_list(self, texts: list[bytes]) -> None:
+        self.add(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+
+    def add_binary(self, texts: pa.Array) -> None:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        self.add(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy(), np.diff(offsets))
+
+    def gather(self, codes: np.ndarray) -> np.ndarray:
+        if self.whole is None:
+            flat = np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+            sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
+            self.parts, self.sizes = [flat], [sizes]
+            self.whole = flat, sizes, np.cumsum(sizes) - sizes
+        flat, sizes, starts = self.whole
+        reps = sizes[codes]
+        ends = np.cumsum(reps)
+        return flat[np.repeat(starts[codes] - (ends - reps), reps) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _stages(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool) -> DataFrame:
     rank_map = RankMap(ranks)
+    by_id = [b""] * (max(ranks.values()) + 1)
+    for t, r in ranks.items():
+        by_id[r] = t
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # of the vocabulary's fixed size
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of distinct words (first), then rows of documents as codes of those words."""
-        splitter = Splitter(pattern)
+        """Rows of words that are new in this task, then rows of documents as codes of words. A dictionary of over WORDS words is
+        dropped before the next slice; code 0 tells the reader."""
+        splitter, known = Splitter(pattern), {}
         for whole in batches:
-            for batch in _bounded(whole):
-                words, codes, bounds = splitter.batch(batch.column(1))
-                raw = [w.encode() for w in words]
+            for batch in bounded(whole, SLICE):
+                if len(known) > WORDS:
+                    known.clear()
+                before = len(known)
+                codes, bounds = splitter.codes(batch.column(1), known)
+                raw = [w.encode() for w in islice(known, before, None)]
                 for at in range(0, len(raw), 10_000):
                     some = raw[at : at + 10_000]
                     short = [w if len(w) <= LONG else b"" for w in some]
                     arrays = pa.ListArray.from_arrays(np.cumsum([0, *map(len, short)]).astype(np.int32), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int16)))
                     merged = [np.array(heap_merge(w, shared.value), "<i4").tobytes() if len(w) > LONG else None for w in some]
-                    yield rows(len(some), code=range(at, at + len(some)), word=arrays, codes=pa.array(merged, pa.binary()))
+                    yield rows(len(some), code=range(before + at, before + at + len(some)), word=arrays, codes=pa.array(merged, pa.binary()))
                 for at in range(0, batch.num_rows, 1000):
                     n = min(1000, batch.num_rows - at)
                     parts = [codes[bounds[i] : bounds[i + 1]].astype("<i4").tobytes() for i in range(at, at + n)]
@@ -190,52 +263,50 @@ def _stages(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: boo
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()) if code is None else pa.array(code, pa.int32()), pa.nulls(n, pa.list_(pa.int16())) if word is None else word, pa.nulls(n, pa.int64()) if doc_id is None else doc_id, codes], names=["code", "word", "doc_id", "codes"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        sizes: list[int] = []
-        texts: list[bytes] = []
-        flat = lengths = None
-        by_id = [b""] * (max(shared.value.values()) + 1)
-        for t, r in shared.value.items():
-            by_id[r] = t
+        """Words are kept as joined arrays of ids and of bytes, with their lengths."""
+        ids, texts = Pile(np.dtype("<u4")), Pile(np.dtype(np.uint8))
         for batch in batches:
-            code = batch.column(0).to_numpy(zero_copy_only=False)
-            is_word = ~np.isnan(code) if code.dtype.kind == "f" else np.ones(len(code), dtype=bool)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(is_word)) + 1, [len(code)]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            is_word = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(is_word)) + 1, [len(is_word)])).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if is_word[a]:
-                    if part.column(0)[0].as_py() == 0:  # words of the next block of documents
-                        ids, sizes, texts = [], [], []
-                    lists = part.column(3)
-                    raw = part.column(2).to_pylist()
-                    values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                    decoded = part.column(4).to_pylist()
-                    for k in range(len(part)):
-                        if raw[k] is None:
-                            ids.append(values[offsets[k] : offsets[k + 1]])
-                            texts.append(decoded[k])
-                        else:
-                            ids.append(np.frombuffer(raw[k], "<i4"))
-                            texts.append(b"".join(by_id[x] for x in ids[-1].tolist()))
-                        sizes.append(len(ids[-1]))
-                    flat = None
+                if not is_word[a]:
+                    yield documents(part.column(1), part.column(2), ids, texts)
+                    continue
+                if part.column(0)[0].as_py() == 0:
+                    ids.clear()
+                    texts.clear()
+                lists, decoded, heaped = part.column(3), part.column(4), part.column(2)
+                two = lists.flatten()  # binary of two bytes each
+                flat = np.frombuffer(two.buffers()[2] or b"", ">u2")[two.offset : two.offset + len(two)] if len(two) else np.zeros(0, ">u2")
+                size = np.diff(lists.offsets.to_numpy())
+                if heaped.null_count < len(heaped):  # long words come with their ids
+                    of = [np.frombuffer(h, "<i4") if h is not None else x for h, x in zip(heaped.to_pylist(), np.split(flat, np.cumsum(size)[:-1]), strict=True)]
+                    flat, size = np.concatenate(of), np.array([len(x) for x in of])
+                    texts.add_list([b"".join(by_id[x] for x in i.tolist()) if h.is_valid else d for h, i, d in zip(heaped, of, decoded.to_pylist(), strict=True)])
                 else:
-                    if flat is None:
-                        flat = np.concatenate(ids).astype("<u4") if ids else np.zeros(0, "<u4")
-                        lengths = np.array(sizes, dtype=np.int64)
-                    yield documents(part.column(1), part.column(2).to_pylist(), flat, lengths, texts)
+                    texts.add_binary(decoded)
+                ids.add(flat.astype("<u4"), size)
 
-    def documents(doc_ids: pa.Array, codes: list[bytes], flat: np.ndarray, lengths: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    def documents(doc_ids: pa.Array, codes: pa.Array, ids: Pile, texts: Pile) -> pa.RecordBatch:
         a, b, n = [], [], []
         for raw in codes:
-            of = np.frombuffer(raw, "<i4")
-            out = gather(lengths, flat, of)[0] if len(of) else flat[:0]
-            text = b"".join(map(texts.__getitem__, of.tolist()))
-            n.append(len(out))
-            a.append(hashlib.sha256(out.tobytes()).hexdigest() if digests else out.astype(np.int32))
-            b.append(hashlib.sha256(text).hexdigest() if digests else text)
+            of = np.frombuffer(raw.as_buffer(), "<i4")
+            if digests:
+                x, y, k = hashlib.sha256(), hashlib.sha256(), 0
+                for at in range(0, len(of), CODES):
+                    out = ids.gather(of[at : at + CODES])
+                    k += len(out)
+                    x.update(out)
+                    y.update(texts.gather(of[at : at + CODES]))
+                n.append(k)
+                a.append(x.hexdigest())
+                b.append(y.hexdigest())
+            else:
+                a.append(ids.gather(of).astype(np.int32))
+                b.append(texts.gather(of).tobytes())
         if digests:
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.binary())], names=["doc_id", "ids", "decoded"])

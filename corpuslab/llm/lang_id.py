@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.pieces import bounded
+
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
@@ -173,9 +175,17 @@ def train(counts: list[tuple[str, str, int]], order: int = 4) -> Model:
     return model
 
 
-def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy a character by language (rows: texts), and characters scored. Pieces between
-    spaces are looked up once each, however often a batch holds them."""
+def entropies(model: Model, texts: pa.Array, most: int = 3 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy a character by language (rows: texts), and characters scored; in slices of
+    about `most` bytes, which bound memory."""
+    parts = [_entropies(model, part.column(1)) for part in bounded(pa.RecordBatch.from_arrays([texts, texts], names=["a", "b"]), most)]
+    if not parts:
+        return np.zeros((0, len(model.langs))), np.zeros(0)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces between spaces are looked up once each, however often a slice holds them."""
     pieces = pc.split_pattern(pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), ""), " ")
     offsets = pieces.offsets.to_numpy()
     coded = pieces.flatten().dictionary_encode()
@@ -184,8 +194,10 @@ def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     score, chars = model.words([w for f in found for w in f])
     owner = np.repeat(np.arange(len(kinds)), sizes)
-    by_kind = np.stack([np.bincount(owner, weights=score[:, i], minlength=len(kinds)) for i in range(len(model.langs))] + [np.bincount(owner, weights=chars, minlength=len(kinds))], axis=1)
+    n = len(kinds)
+    by_kind = np.stack([*(np.bincount(owner, weights=score[:, i], minlength=n) for i in range(len(model.langs))), np.bincount(owner, weights=chars, minlength=n)], axis=1)
     codes = coded.indices.to_numpy()
+    del pieces, coded, kinds, found
     total = np.zeros((len(texts), by_kind.shape[1]))
     for i in range(by_kind.shape[1]):  # a column at a time bounds memory
         run = np.concatenate(([0.0], np.cumsum(by_kind[codes, i])))

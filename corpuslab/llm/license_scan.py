@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.packing import _bounded
+from corpuslab.llm.pieces import bounded
 
 # Notices in the words of the published licences.
 TEMPLATES: dict[str, str] = {
@@ -227,7 +227,7 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.8, templates: dict[str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = Index(templates) if templates is not None else index()
         for whole in batches:
-            for batch in _bounded(whole, 4 << 20):
+            for batch in bounded(whole, 4 << 20):
                 yield one(batch, idx)
 
     def one(batch: pa.RecordBatch, idx: Index) -> pa.RecordBatch:

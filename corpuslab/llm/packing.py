@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.pieces import Splitter, gather
+from corpuslab.llm.pieces import Splitter, bounded, gather
 
 
 @cache
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*shared.value)
         for whole in batches:
-            for part in _bounded(whole):
+            for part in bounded(whole):
                 yield one(enc, part)
 
     def one(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,14 +132,3 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_i
 
     out = docs.select("doc_id", "text").mapInArrow(run, schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id())
-
-
-def _bounded(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `most` bytes of text (one row at least)."""
-    sizes = np.cumsum(np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1).cast(pa.binary())), dtype=np.int64, count=batch.num_rows))
-    at = 0
-    while at < batch.num_rows:
-        before = sizes[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto

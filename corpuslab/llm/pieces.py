@@ -7,6 +7,8 @@ cut before such spaces and each kind of stretch split by the pattern only once a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,61 +23,79 @@ class Splitter:
         return self.pattern.findall(text)
 
     def batch(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct words of all texts; codes of all words in order; where each text starts among the
-        codes (one more entry than texts). Null is the empty text."""
+        """Distinct words of all texts, and `codes` of them."""
+        words: dict[str, int] = {}
+        codes, bounds = self.codes(texts, words)
+        return list(words), codes, bounds
+
+    def codes(self, texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words in order, and where each text starts among them (one more entry than texts). words
+        holds the codes so far and gets the new ones. Null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        kinds, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        dictionary, kind_of = coded.dictionary, coded.indices.to_numpy()
+        del lists, coded
+        kinds = dictionary.to_pylist()
         # a stretch that is empty or ends in white space forbids the cut after it
         open_end = np.fromiter((not k or k[-1].isspace() for k in kinds), dtype=bool, count=len(kinds))
-        bad = open_end[codes] if len(codes) else np.zeros(0, dtype=bool)
-        last = np.zeros(len(codes), dtype=bool)
-        last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-        run = np.concatenate(([0], np.cumsum(bad & ~last)))
+        bad = open_end[kind_of]
+        bad[offsets[1:] - 1] = False  # nothing follows the last one
+        run = np.concatenate(([0], np.cumsum(bad, dtype=np.int32)))
         odd = np.flatnonzero(run[offsets[1:]] > run[offsets[:-1]])  # texts with such a cut
-        words: dict[str, int] = {}
-        code = lambda ws: [words.setdefault(w, len(words)) for w in ws]
-        by_kind = [code(self.split(" " + k)) for k in kinds]
-        sizes = np.fromiter(map(len, by_kind), dtype=np.int64, count=len(kinds))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((c for x in by_kind for c in x), dtype=np.int64, count=int(sizes.sum()))
-        # the first stretch of a text has no space before it
-        first = [code(self.split(x)) for x in (kinds[codes[o]] for o in offsets[:-1])]
-        length = sizes[codes]
-        length[offsets[:-1]] = [len(x) for x in first]
-        at = np.cumsum(length) - length
-        out = np.zeros(int(length.sum()), dtype=np.int64)
-        plain = np.ones(len(codes), dtype=bool)
-        plain[offsets[:-1]] = False
-        reps, of = length[plain], codes[plain]
-        where = np.repeat(at[plain], reps) + _ranges(reps)
-        out[where] = flat[np.repeat(starts[of], reps) + _ranges(reps)]
-        for i, x in zip(at[offsets[:-1]].tolist(), first, strict=True):
-            out[i : i + len(x)] = x
-        bounds = np.concatenate((at, [len(out)]))[offsets]
-        if len(odd):
-            parts, cuts = [], [0]
-            redo = {int(i): np.array(code(self.split(texts[int(i)].as_py())), dtype=np.int64) for i in odd}
-            for i in range(n):
-                parts.append(redo[i] if i in redo else out[bounds[i] : bounds[i + 1]])
-                cuts.append(cuts[-1] + len(parts[-1]))
-            out, bounds = np.concatenate(parts), np.array(cuts, dtype=np.int64)
-        return list(words), out, bounds
-
-
-def _ranges(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each length n, joined."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+        del bad, run
+        find, code = self.pattern.findall, lambda ws: [words.setdefault(w, len(words)) for w in ws]
+        # letters alone are one word with the space before
+        plain = pc.utf8_is_alpha(dictionary).to_numpy(zero_copy_only=False)
+        flat: list[int] = []
+        sizes = np.ones(len(kinds), dtype=np.int32)
+        for i, (k, one) in enumerate(zip(kinds, plain.tolist(), strict=True)):
+            k = " " + k
+            if one:
+                flat.append(words.setdefault(k, len(words)))
+            else:
+                some = code(find(k))
+                flat.extend(some)
+                sizes[i] = len(some)
+        values = np.array(flat, dtype=np.int32)
+        del flat
+        first = [code(find(kinds[kind_of[o]])) for o in offsets[:-1].tolist()]  # no space before it
+        out, starts = gather(sizes, values, kind_of)
+        bounds = starts[offsets]
+        heads = starts[offsets[:-1] + 1]
+        again = {int(i): code(find(texts[int(i)].as_py())) for i in odd}
+        parts: list[np.ndarray] = []
+        lengths = np.zeros(n + 1, dtype=np.int64)
+        for i, (h, e) in enumerate(zip(heads.tolist(), bounds[1:].tolist(), strict=True)):
+            mine = [np.array(again[i], dtype=np.int32)] if i in again else [np.array(first[i], dtype=np.int32), out[h:e]]
+            parts += mine
+            lengths[i + 1] = sum(map(len, mine))
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), np.cumsum(lengths)
 
 
 def gather(lengths: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of each code (lengths[c] of them, stored joined in flat) one code after another,
     and where each code's entries start (one more entry than codes)."""
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     reps = lengths[codes]
-    bounds = np.concatenate(([0], np.cumsum(reps)))
-    return flat[np.repeat(starts[codes] - bounds[:-1], reps) + np.arange(bounds[-1])], bounds
+    bounds = np.concatenate(([0], np.cumsum(reps, dtype=np.int64)))
+    at = np.repeat(starts[codes] - bounds[:-1], reps)
+    at += np.arange(bounds[-1])
+    return flat[at], bounds
+
+
+def bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `most` bytes of text in column 1 (one row at least)."""
+    raw = batch.column(1).cast(pa.large_binary())
+    ends = raw.buffers()[1] and np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    if ends is None or not len(raw):
+        if batch.num_rows:
+            yield batch
+        return
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, min(upto, batch.num_rows) - at)
+        at = upto
