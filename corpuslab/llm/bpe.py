@@ -4,10 +4,10 @@ The documents of a task are reduced to their distinct words (Arrow). Every disti
 Spark as one row, an array of its bytes. There a higher-order function
 folds the ranked merges over the array: each step merges the first pair of the lowest rank and
 looks up the ranks of the two pairs that it makes in a literal rank map. Decoding
-looks up the bytes of each id in a literal and concatenates them. The next Arrow stage puts words together to
+looks up the bytes of each id in a literal array and concatenates them. The next Arrow stage puts words together to
 documents. All of it is one narrow stage: nothing is shuffled, and a lost task is run again alone.
 
-The literal rank map is a cuckoo table in one byte array: a pair of ids stands at one of two places, which its hash gives, so
+The literal rank map is a cuckoo table: a pair of ids stands at one of two places, which its hash gives, so
 a look-up reads two entries. An entry holds the pair and the id that both merge to, which is the rank too.
 
 Words of over LONG bytes, for which the fold's quadratic time is no longer bounded usefully, are merged in the
@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.pieces import Splitter, bounded
+from corpuslab.llm.shared import arrow_stage
 
 LONG = 128
 #: Bytes of text whose words are encoded at once. Two Arrow stages run in each task, so this is kept small.
@@ -45,10 +46,10 @@ SLICE = 4 << 20
 WORDS = 400_000
 #: Words of a document that are put together at once.
 CODES = 1 << 18
-#: Bytes of an id, of a pair and of an entry of the rank map (pair, then the id that it merges to).
-ID, PAIR, ENTRY = 2, 4, 6
-#: Stands for "no merge" among ranks, and before the first and after the last id of a word.
-NONE = b"\xff\xff"
+#: Stands for "no merge" among ranks.
+NONE = 1 << 16
+#: Before the first and after the last id of a word.
+EDGE = NONE - 1
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -61,22 +62,18 @@ def pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def _id(i: int) -> bytes:
-    return i.to_bytes(ID, "big")
-
-
-def _places(pair: bytes, bits: int) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(pair, 42)  # as Spark's xxhash64
+def _places(pair: int, bits: int) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(pair.to_bytes(8, "little"), 42)  # as Spark's xxhash64 of a long
     return h & ((1 << bits) - 1), h >> 32 & ((1 << bits) - 1)
 
 
-def cuckoo(merges: dict[tuple[int, int], int]) -> tuple[bytes, int]:
+def cuckoo(merges: dict[tuple[int, int], int]) -> tuple[list[int], int]:
     """A table of entries in which each pair stands at one of its two places. A free place holds a pair that cannot occur."""
     bits = max(4, (2 * len(merges)).bit_length())
-    items = [(pair, _id(r)) for (a, b), r in merges.items() for pair in (_id(a) + _id(b),)]
     while True:
-        table: list[tuple[bytes, bytes] | None] = [None] * (1 << bits)
-        for item in items:
+        table: list[tuple[int, int] | None] = [None] * (1 << bits)
+        for (a, b), r in merges.items():
+            item: tuple[int, int] | None = (a << 16 | b, r)
             at = _places(item[0], bits)[0]
             for _ in range(500):
                 table[at], item = item, table[at]
@@ -87,75 +84,72 @@ def cuckoo(merges: dict[tuple[int, int], int]) -> tuple[bytes, int]:
             else:
                 break
         else:
-            return b"".join(e[0] + e[1] if e else NONE * 3 for e in table), bits
+            return [e[0] << 16 | e[1] if e else (1 << 48) - 1 for e in table], bits
         bits += 1
 
 
+def _numbers(values: list[int], kind: str) -> Column:
+    """A literal array: the cast of a split string is folded once, when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 class RankMap:
-    """Literals of one byte array each: cheap to send to tasks, read in place by substring. Ids and ranks are two
-    bytes, the high one first, so that their order as binary is that of the numbers."""
+    """Literal arrays, read in place. Each stands in the expression once, as Spark carries every mention of a literal apart."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 0xFFFF or any(bytes([b]) not in ranks for b in range(256)):
+        if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks must be below 65535 and hold every byte")
         merges = pairs(ranks)
         table, self.bits = cuckoo(merges)
-        self.table = F.lit(table)
+        self.table = _numbers(table, "bigint")
         ids = [ranks[bytes([b])] for b in range(256)]
-        self.bytes = F.lit(b"".join(map(_id, ids)))
-        self.byte_pairs = F.lit(b"".join(_id(merges[a, b]) if (a, b) in merges else NONE for a in ids for b in ids))
+        self.bytes = _numbers(ids, "int")
+        self.byte_pairs = _numbers([merges.get((a, b), NONE) for a in ids for b in ids], "int")
         by_id = {r: t for t, r in ranks.items()}
-        # where the bytes of each id start among all, three bytes each
-        starts = list(accumulate((len(by_id.get(i, b"")) for i in range(max(by_id) + 2)), initial=0))
-        self.starts = F.lit(b"".join(x.to_bytes(3, "big") for x in starts))
-        self.pieces = F.lit(b"".join(by_id.get(i, b"") for i in range(max(by_id) + 1)))
+        self.pieces = F.split(F.lit(",".join(by_id.get(i, b"").hex() for i in range(max(by_id) + 1))), ",")
 
     def rank(self, pair: Column) -> Column:
-        """The id that a pair of ids (four bytes) merges to, NONE if it doesn't."""
-        mask = F.lit((1 << self.bits) - 1).cast("bigint")
+        """The id that a pair, a * 65536 + b, merges to; NONE if it doesn't. An entry's difference in its bits from
+        pair * 65536 is the id if it is the pair's, and at least 65536 if not."""
+        mask, shifted = F.lit((1 << self.bits) - 1).cast("bigint"), F.shiftleft(pair, 16)
         places = F.array(F.xxhash64(pair).bitwiseAND(mask), F.shiftrightunsigned(F.xxhash64(pair), 32).bitwiseAND(mask))
-        found = F.transform(places, lambda at: F.substring(self.table, at.cast("int") * ENTRY + 1, F.lit(ENTRY)))
-        own = F.get(F.filter(found, lambda e: F.startswith(e, pair)), F.lit(0))
-        return F.coalesce(F.substring(own, F.lit(PAIR + 1), F.lit(ID)), F.lit(NONE))
+        found = F.transform(places, lambda at: F.get(self.table, at.cast("int")).bitwiseXOR(shifted))
+        return F.least(F.array_min(found), F.lit(NONE).cast("bigint")).cast("int")
 
     def encode(self, word: Column) -> Column:
         """word: array of bytes as numbers; returns the array of ids. The fold runs as often as merges are possible at
         most, and does nothing once no pair is left. Its state is the ids and the ranks of adjacent pairs, so that a
         merge looks up two pairs only."""
-        edge = F.array(F.lit(NONE))
-        ids = F.concat(edge, F.transform(word, lambda b: F.substring(self.bytes, b.cast("int") * ID + 1, F.lit(ID))), edge)
+        edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
+        ids = F.concat(edge, F.transform(word, lambda b: F.get(self.bytes, b.cast("int"))), edge)
         both = lambda a, b: F.shiftleft(a.cast("int"), 8).bitwiseOR(b.cast("int"))
-        inner = F.transform(F.slice(word, F.lit(1), F.size(word) - 1), lambda a, i: F.substring(self.byte_pairs, both(a, F.get(word, i + 1)) * ID + 1, F.lit(ID)))
-        start = F.struct(ids.alias("ids"), F.concat(edge, inner, edge).alias("ranks"))
+        inner = F.transform(F.slice(word, F.lit(1), F.size(word) - 1), lambda a, i: F.get(self.byte_pairs, both(a, F.get(word, i + 1))))
+        start = F.struct(ids.alias("ids"), F.concat(none, inner, none).alias("ranks"))
         many = F.lit(2 * LONG)
 
         def step(s: Column, _: Column) -> Column:
-            place = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")  # the first of the lowest rank
-            # a transform over one element gives the place a name
-            done = F.get(F.transform(F.array(place), lambda at: merge(s["ids"], s["ranks"], at)), F.lit(0))
-            return F.when(F.array_min(s["ranks"]) < F.lit(NONE), done).otherwise(s)
-
-        def merge(ids: Column, ranks: Column, at: Column) -> Column:
-            made = F.get(ranks, at - 1)
-            fresh = F.array(F.concat(F.get(ids, at - 2), made), F.concat(made, F.get(ids, at + 1)))
+            # rank and place of each pair in one number: the least is the first pair of the lowest rank
+            best = F.array_min(F.transform(s["ranks"], lambda r, i: F.shiftleft(r, 8).bitwiseOR(i)))
+            # a transform over one element gives it a name
+            done = F.get(F.transform(F.array(best), lambda m: merge(s["ids"], s["ranks"], m.bitwiseAND(F.lit(255)), F.shiftright(m, 8))), F.lit(0))
+            return F.when(F.array_min(s["ranks"]) < NONE, done).otherwise(s)
+
+        def merge(ids: Column, ranks: Column, at: Column, made: Column) -> Column:
+            """The pair of the ids at `at` and `at` + 1, from 0, becomes `made`."""
+            pair = lambda a, b: F.shiftleft(a.cast("bigint"), 16).bitwiseOR(b.cast("bigint"))
+            fresh = F.array(pair(F.get(ids, at - 1), made), pair(made, F.get(ids, at + 2)))
             return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(made), F.slice(ids, at + 2, many)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), F.transform(fresh, self.rank), F.slice(ranks, at + 2, many)).alias("ranks"),
+                F.concat(F.slice(ids, F.lit(1), at), F.array(made), F.slice(ids, at + 3, many)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), at - 1), F.transform(fresh, self.rank), F.slice(ranks, at + 3, many)).alias("ranks"),
             )
 
         rounds = F.when(F.size(word) > 1, F.sequence(F.lit(1), F.size(word) - 1)).otherwise(F.array().cast("array<int>"))
         folded = F.aggregate(rounds, start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
-        return F.when(F.size(word) > 0, folded).otherwise(F.array().cast("array<binary>"))
+        return F.when(F.size(word) > 0, folded).otherwise(F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids, concatenated."""
-        number = lambda b: F.conv(F.hex(b), 16, 10).cast("int")
-
-        def piece(i: Column) -> Column:
-            bounds = F.transform(F.array(number(i)), lambda k: F.substring(self.starts, k * 3 + 1, F.lit(6)))
-            return F.get(F.transform(bounds, lambda b: F.substring(self.pieces, number(F.substring(b, F.lit(1), F.lit(3))) + 1, number(F.substring(b, F.lit(4), F.lit(3))) - number(F.substring(b, F.lit(1), F.lit(3))))), F.lit(0))
-
-        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, piece(i)))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -279,9 +273,7 @@ def _stages(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: boo
                     ids.clear()
                     texts.clear()
                 lists, decoded, heaped = part.column(3), part.column(4), part.column(2)
-                two = lists.flatten()  # binary of two bytes each
-                flat = np.frombuffer(two.buffers()[2] or b"", ">u2")[two.offset : two.offset + len(two)] if len(two) else np.zeros(0, ">u2")
-                size = np.diff(lists.offsets.to_numpy())
+                flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
                 if heaped.null_count < len(heaped):  # long words come with their ids
                     of = [np.frombuffer(h, "<i4") if h is not None else x for h, x in zip(heaped.to_pylist(), np.split(flat, np.cumsum(size)[:-1]), strict=True)]
                     flat, size = np.concatenate(of), np.array([len(x) for x in of])
@@ -311,8 +303,8 @@ def _stages(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: boo
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    coded = docs.select("doc_id", "text").mapInArrow(split, "code int, word array<smallint>, doc_id long, codes binary")
+    coded = arrow_stage(docs.select("doc_id", "text"), split, "code int, word array<smallint>, doc_id long, codes binary")
     encoded = coded.select("code", "doc_id", "codes", F.when(F.col("word").isNotNull(), rank_map.encode(F.col("word"))).alias("ids"))
     decoded = encoded.withColumn("decoded", F.when(F.col("ids").isNotNull(), rank_map.decode(F.col("ids"))))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
-    return decoded.mapInArrow(join, schema)
+    return arrow_stage(decoded, join, schema)

@@ -27,6 +27,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpuslab.llm.shared import arrow_stage
+
 # Tags and class words.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map textarea select datalist head title".split())
@@ -244,4 +246,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow_stage(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

@@ -39,10 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.pieces import bounded
+from corpuslab.llm.shared import arrow_stage, materialise
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
+#: Longest word that models learn from; with the number of words it bounds the sample.
+SAMPLE_WORD = 1000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,10 +222,12 @@ def _sample(labelled: DataFrame, sample_docs: int, sample_words: int) -> tuple[l
             seen: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in LETTERS.findall((text or "").lower()):
-                    seen[lang, w] = seen.get((lang, w), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1][:200] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+                    if len(w) <= SAMPLE_WORD:
+                        seen[lang, w] = seen.get((lang, w), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = sample.filter("mark > 0").select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = arrow_stage(sample.filter("mark > 0").select("lang", "text"), words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "words")
     top = [r for x in sizes for r in counted.filter(F.col("lang") == x).orderBy(F.desc("n"), "word").limit(sample_words).collect()] if len(sizes) <= 64 else counted.orderBy(F.desc("n"), "lang", "word").limit(sample_words * 64).collect()
     return [tuple(r) for r in top], sample.filter("mark = 0").select("lang", "text")
 
@@ -244,7 +249,7 @@ def fit(labelled: DataFrame, order: int = 4, sample_docs: int = 600, sample_word
                 own = [ent[i, m.langs.index(x)] if x in m.langs and chars[i] >= least_chars else None for i, x in enumerate(true)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], names=["lang", "own"])
 
-    rows = held.mapInArrow(run, "lang string, own double").filter("own is not null").collect()  # a tenth of the sample
+    rows = arrow_stage(held, run, "lang string, own double").filter("own is not null").collect()  # a tenth of the sample
     model.limit = np.full(len(model.langs), np.inf)
     if rows:
         overall = np.quantile([r["own"] for r in rows], tail)
@@ -276,7 +281,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 rejected = ~some | ((low > m.limit[best]) & some)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return arrow_stage(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def held_out() -> F.Column:
@@ -308,4 +313,4 @@ def keep_known(docs: DataFrame, **fit_args) -> DataFrame:
             low = ent[np.arange(len(ent)), best]
             yield batch.filter(pa.array((chars > 0) & (low <= m.limit[best])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_stage(docs, run, docs.schema)

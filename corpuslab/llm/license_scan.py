@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.pieces import bounded
+from corpuslab.llm.shared import arrow_stage
 
 # Notices in the words of the published licences.
 TEMPLATES: dict[str, str] = {
@@ -256,4 +257,4 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.8, templates: dict[str, s
         )
 
     schema = "doc_id long, license string, start long, end long, matched_words int, template_words int, coverage double"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, schema)
+    return arrow_stage(docs.select("doc_id", F.col("text").cast("binary").alias("t")), run, schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.pieces import Splitter, bounded, gather
+from corpuslab.llm.shared import arrow_stage
 
 
 @cache
@@ -130,5 +131,5 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_i
             arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), values))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, schema)
+    out = arrow_stage(docs.select("doc_id", "text"), run, schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id())

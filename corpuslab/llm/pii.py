@@ -40,6 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.shared import arrow_stage
+
 #: For tests. In production the key comes from a secret store, through this setting.
 KEY_SETTING, TEST_KEY = "spark.corpuslab.pii.key", "corpuslab-test-key"
 ROUNDS = 10
@@ -313,10 +315,10 @@ def find(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text (with pseudonyms), n_values, and n_<kind> for each kind."""
     key = key or docs.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
     schema = "doc_id long, text string, n_values long, " + ", ".join(f"n_{k} int" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(_run(key, 1, True), schema)
+    return arrow_stage(docs.select("doc_id", "text"), _run(key, 1, True), schema)
 
 
 def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """All columns; text with pseudonyms. Lengths stay, so n_chars stays true."""
     key = key or docs.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
-    return docs.mapInArrow(_run(key, docs.columns.index("text"), False), docs.schema)
+    return arrow_stage(docs, _run(key, docs.columns.index("text"), False), docs.schema)

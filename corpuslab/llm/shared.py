@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: Of an Arrow batch sent to Python.
+BATCH_BYTES = "16m"
 
 _made: list[tuple[object, str]] = []
 
@@ -53,6 +57,12 @@ def _clean() -> None:
             return
 
 
+def arrow_stage(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, as rows may be long texts. The setting holds for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.components import components
-from corpuslab.llm.shared import materialise, maybe_broadcast
+from corpuslab.llm.shared import arrow_stage, materialise, maybe_broadcast
 
 BLOCK = 1 << 16
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return arrow_stage(docs.select("doc_id", F.col("text").cast("binary").alias("t")), run, "doc_id long, fp long")
 
 
 class GrayIndex:
@@ -189,7 +189,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 1024, fan: int = 8) ->
         n_heavy = heavy.count()
         light = dealt.join(maybe_broadcast(heavy, n_heavy), ["path", "key"], "left_anti") if n_heavy else dealt
         light = light.select("path", "key", "fp", "id").repartition("path", "key").sortWithinPartitions("path", "key")
-        edges = light.mapInArrow(_bucket_edges(radius, fan), "a long, b long")
+        edges = arrow_stage(light, _bucket_edges(radius, fan), "a long, b long")
         out = edges if out is None else out.unionByName(edges)
         if not n_heavy:
             break
