@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import stats, text
+from corpuslab.plans import learn, metrics, stats, text, vectors
 
-MODULES = (text, stats)
+MODULES = (text, stats, metrics, vectors, learn)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
