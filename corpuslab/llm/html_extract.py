@@ -50,17 +50,17 @@ SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outer", "inner", "heading", "seen_inner")
 
+#: Neighbours that blocks of the table stand between: words and links before, words and links after.
+SITES = ((0, 0.0, 0, 0.0), (40, 0.0, 0, 0.0), (0, 0.0, 40, 0.0), (3, 1.0, 50, 0.0), (50, 0.0, 4, 1.0), (30, 0.0, 30, 0.0), (1, 1.0, 1, 1.0))
+
 #: The labelled table: the features above, then 1 for article text. Fixed values, made for this module.
 LABELLED = [
-    # blocks of an article element: paragraphs long and short, headings, list items, one-word lines
-    *[(w, 0.0, b, 0.0, a, 0.0, 0, 1, 0, 1, 1) for w, b, a in ((60, 40, 50), (25, 60, 30), (9, 30, 40), (1, 20, 25), (2, 0, 30), (4, 35, 0), (120, 4, 0), (3, 3, 3))],
-    *[(w, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1, 1, 1) for w in (3, 8, 14, 1)],
-    (20, 0.2, 30, 0.0, 25, 0.0, 0, 1, 0, 1, 1), (8, 0.5, 40, 0.0, 25, 0.0, 0, 1, 0, 1, 1), (30, 0.1, 1, 1.0, 4, 1.0, 0, 1, 0, 1, 1), (2, 1.0, 40, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 1),
-    # blocks in boilerplate containers, also within an article, also long ones and between paragraphs
-    *[(w, 0.0, b, lb, a, la, 1, 0, 0, s, 0) for w, b, lb, a, la, s in ((60, 40, 0.0, 50, 0.0, 1), (25, 60, 0.0, 30, 0.0, 1), (9, 1, 1.0, 40, 0.0, 1), (5, 40, 0.0, 0, 0.0, 1), (2, 1, 0.0, 1, 0.0, 0), (12, 1, 1.0, 14, 0.0, 0), (40, 3, 0.0, 30, 0.0, 0), (1, 1, 0.0, 20, 0.0, 1))],
-    *[(w, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, s, 0) for w in (1, 2, 5) for s in (0, 1)], (4, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1, 1, 0), (6, 0.0, 20, 0.0, 20, 0.0, 1, 0, 1, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0),
-    # pages that have an article: what stands outside it
-    *[(w, x, b, lb, a, la, 0, 0, h, 1, 0) for w, x, b, lb, a, la, h in ((7, 0.0, 1, 1.0, 60, 0.0, 0), (30, 0.0, 1, 1.0, 12, 0.0, 0), (12, 0.3, 50, 0.0, 0, 0.0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0), (5, 0.0, 3, 1.0, 8, 0.0, 1), (18, 0.0, 40, 0.0, 6, 1.0, 0), (45, 0.0, 12, 0.0, 0, 0.0, 0))],
+    # blocks of an article element, of any length and between any neighbours, linked or not
+    *[(w, x, b, lb, a, la, 0, 1, h, 1, 1) for w, x, h in ((1, 0.0, 0), (3, 0.0, 1), (8, 0.5, 0), (16, 0.0, 0), (30, 0.2, 0), (60, 0.0, 0), (120, 0.0, 0), (2, 1.0, 0)) for b, lb, a, la in SITES],
+    # blocks of boilerplate containers, likewise, on pages with and without an article
+    *[(w, x, b, lb, a, la, 1, 0, h, s, 0) for s in (0, 1) for w, x, h in ((1, 1.0, 0), (3, 0.0, 1), (5, 0.0, 0), (9, 0.3, 0), (16, 0.0, 0), (30, 0.0, 0), (60, 0.0, 0), (120, 0.1, 0)) for b, lb, a, la in SITES],
+    # on pages that have an article: what stands outside it
+    *[(w, x, b, lb, a, la, 0, 0, h, 1, 0) for w, x, h in ((1, 1.0, 0), (3, 0.0, 1), (7, 0.0, 0), (12, 0.3, 0), (16, 0.0, 0), (30, 0.0, 0), (60, 0.0, 0), (120, 0.0, 0)) for b, lb, a, la in SITES],
     # pages that have none: text density decides
     *[(w, 0.0, b, 0.0, a, 0.0, 0, 0, 0, 0, 1) for w, b, a in ((60, 40, 50), (30, 2, 40), (22, 50, 18), (16, 20, 0), (90, 0, 0), (12, 40, 45), (10, 30, 25))],
     (24, 0.1, 30, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (40, 0.25, 5, 0.0, 60, 0.1, 0, 0, 0, 0, 1), (18, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 1), (8, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0, 1), (4, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 0, 1),
