@@ -7,7 +7,7 @@ and formats of writing; length, separators and validity are kept.
 
   card      13 to 19 digits that pass the Luhn check (single spaces or hyphens allowed); the last
             digit is computed anew
-  phone     international (+ and 8 to 15 digits) or (xxx) xxx-xxxx / xxx-xxx-xxxx; the country code stays
+  phone     international (+ and 8 to 15 digits) or (xxx) xxx-xxxx / xxx-xxx-xxxx; the country code (by a table) stays
   ssn       xxx-xx-xxxx in the ranges that are issued
   iban      passes mod 97; country stays, check digits are computed anew
   ip        IPv4 with octets to 255, but loopback and 0.0.0.0
@@ -49,7 +49,7 @@ KINDS = ("email", "iban", "ip", "ssn", "date", "phone", "card", "secret")
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[^\W_](?:[\w.+%-]{0,62}\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b)"
-    r"|(?P<secret>(?i:(?<![A-Za-z])(?:[a-z_-]*(?:token|secret|api[_-]?key|password|passwd|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,256})(?![A-Za-z0-9+/_-]))"
+    r"|(?P<secret>(?i:(?<![A-Za-z])(?:[a-z_-]*(?:token|secret|api[_-]?key|password|passwd|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,})(?![A-Za-z0-9+/_-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
@@ -59,6 +59,18 @@ PATTERN = re.compile(
 )
 
 
+#: What a shorter end of a find that fails validation must still look like.
+SHORTER = {
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
+    "phone": re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}"),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"),
+}
+#: Country codes (ITU-T E.164) of one and two digits; all others have three.
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: Longer secrets are permuted in blocks of so many characters.
+SECRET_BLOCK = 256
+
+
 class Feistel:
     """A keyed permutation of the numbers below any n: a balanced Feistel network on the
     even number of bits that holds n, walked until it is below n again."""
@@ -164,7 +176,7 @@ def _phone(v: str, f: Feistel, back: bool) -> str | None:
     if v[0] == "+":
         if not 8 <= len(d) <= 15 or d[0] == "0":
             return None
-        code = "1" if d[0] == "1" else "7" if d[0] == "7" else d[: min(len(re.match(r"\+([0-9]+)", v)[1]), 3)]
+        code = next((d[:n] for n in (1, 2) if d[:n] in CODES), d[:3])
     else:
         code = ""
         if len(d) != 10:
@@ -266,23 +278,52 @@ def _secret(v: str, f: Feistel, back: bool) -> str | None:
     return f.mixed(v, "secret", back)
 
 
-MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card, "secret": _secret}
+def _long_secret(v: str, f: Feistel, back: bool) -> str | None:
+    """Block by block, as the work of one permutation grows with the square of its length. Letters stay letters."""
+    if len(v) <= SECRET_BLOCK:
+        return _secret(v, f, back)
+    if not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)):
+        return None
+    return "".join(f.mixed(v[i : i + SECRET_BLOCK], f"secret{i}", back) for i in range(0, len(v), SECRET_BLOCK))
+
+
+MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card, "secret": _long_secret}
+
+
+def _pseudonym(kind: str, v: str, f: Feistel, back: bool) -> str | None:
+    """The pseudonym of the longest valid value at the start of v, a find, that ends before a separator. Behind a shorter end the
+    permutation is walked until no longer end is valid, so that the pseudonym is found with the same end again."""
+    new = MAKERS[kind](v, f, back)
+    if new is not None or kind not in SHORTER or (kind == "phone" and v[0] != "+"):
+        return new
+    ends = [len(v)]
+    for end in range(len(v) - 1, 0, -1):
+        if v[end] not in " .-" or not SHORTER[kind].fullmatch(v, 0, end):
+            continue
+        new = MAKERS[kind](v[:end], f, back)
+        while new is not None and any(MAKERS[kind](new + v[end:e], f, back) is not None for e in ends):
+            new = MAKERS[kind](new, f, back)
+        if new is not None:
+            return new
+        ends.append(end)
+    return None
 
 
 def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind. A find that fails validation is
-    stepped into, so that a value inside it can still be found."""
+    tried at its shorter ends, then stepped into, so that a value inside it can still be found."""
     out, at, seen, counts = [], 0, 0, {}
     while m := PATTERN.search(text, seen):
         kind = m.lastgroup if m.lastgroup != "value" else "secret"
         kind = next(k for k in KINDS if m.group(k) is not None)
         start, end = m.span("value") if kind == "secret" else m.span()
-        new = MAKERS[kind](text[start:end], f, back)
+        new = _pseudonym(kind, text[start:end], f, back)
         if new is None:
             # go on behind the first run of digits or letters: a look-behind needs a border
             step = re.compile(r"\w+|\W").match(text, m.start())
             seen = max(step.end(), m.start() + 1)
             continue
+        end = start + len(new)
         out += [text[at:start], new]
         at = seen = end
         counts[kind] = counts.get(kind, 0) + 1

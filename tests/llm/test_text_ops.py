@@ -250,3 +250,23 @@ def test_topk(spark):
         want = sorted(((-int(x[q] @ x[c]), c) for c in x if c != q))[:5]
         assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df.filter("vec_id in (0, 1, 2)"), F.lit(True)).count() == 6
+
+
+@pytest.mark.parametrize(("kind", "value", "rest"), [
+    ("card", "4111 1111 1111 1111", " 123"), ("card", "4111111111111111", " 12/27"), ("card", "4111-1111-1111-1111", "-123"), ("iban", "AT61 1904 3002 3457 3201", " BIC"), ("iban", "AT611904300234573201", " CODE"),
+    ("phone", "+49 171 1234567", " 2024 123"), ("secret", "api_key = " + "a1B2" * 100, ""), ("secret", "token: " + "0f" * 5000, ""),
+])
+def test_values_before_more_text_are_found(kind, value, rest):
+    for key in map(str, range(20)):
+        f = pii.Feistel(key)
+        text = f"x {value}{rest}, y"
+        new, counts = pii.replace(text, f)
+        assert counts == {kind: 1} and value not in new and len(new) == len(text) and new.endswith(f"{rest}, y")
+        assert pii.replace(new, f, back=True)[0] == text
+
+
+def test_a_phone_is_the_same_however_it_is_written():
+    f = pii.Feistel("k")
+    digits = {"".join(c for c in pii.replace(f"x {v} y", f)[0] if c.isdigit()) for v in ("+49 171 1234567", "+49171 1234567", "+491711234567", "+49-171-123-4567")}
+    assert len(digits) == 1 and digits.pop()[:2] == "49"
+    assert pii.replace("x +353861234567 y", f)[0].startswith("x +353") and pii.replace("x +12125550147 y", f)[0].startswith("x +1")
