@@ -11,7 +11,7 @@
    ancestor holds. A search adds up the differences from the root down and drops a whole
    group once they exceed r.
 4. Each bucket returns a spanning forest of its links, not its pairs; the
-   components are joined up by `components`.
+   components of fingerprints are joined up by `components`, then named by their smallest id.
 
 Defined results
   null or empty text, or no word   fingerprint zero, linked like any other
@@ -202,8 +202,13 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, bucket: in
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     marks = materialise(fingerprints(docs, words), "marks")
     by_fp = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
-    roots = components(links(by_fp.filter("id is not null"), radius, bucket))
-    named = materialise(by_fp.join(roots, by_fp["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id")), "named")
+    # every fingerprint is a node, with or without an id, as it may be all that links two documents
+    roots = components(links(by_fp.select("fp", F.col("fp").alias("id")), radius, bucket))
+    linked = materialise(by_fp.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp"), "fp"), "linked")
+    names = materialise(linked.groupBy("root").agg(F.min("id").alias("component_id")), "names")
+    found = linked.join(maybe_broadcast(names, names.count()), "root").select("fp", "component_id")
+    alone = by_fp.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("id").alias("component_id"))
+    named = materialise(found.unionByName(alone), "named")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -129,3 +129,13 @@ def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(5, 5), (7, 6)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 50)}
+
+
+def test_rows_without_id_link_components(spark, monkeypatch):
+    """Fingerprints 0, 3 and 15: 0 and 15 are linked only through the row without an id; 1023 << 30 and its neighbour have none at all."""
+    rows = [(8, "0"), (None, "3"), (4, "15"), (None, str(1023 << 30)), (None, str(1022 << 30)), (6, str(255 << 50)), (None, str(254 << 50))]
+    marks = spark.createDataFrame([(i, int(t)) for i, t in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: marks)
+    out = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {int(r["fingerprint"], 16): r["component_id"] for r in out}
+    assert got == {0: 4, 3: 4, 15: 4, 1023 << 30: None, 1022 << 30: None, 255 << 50: 6, 254 << 50: 6} and len(out) == len(rows)
