@@ -5,8 +5,9 @@ pieces of `size` as fit, then one for each bit that is set in the rest, the larg
 first. Every piece is a sequence by itself in the bucket of its length, so no sequence crosses
 documents and none is padded. Batches are then drawn from one bucket at a time.
 
-Token ids are those of the tokenizers library for a byte-level BPE file, without special
-tokens, and one end id after each document. Words are encoded once a batch. The merges run in
+Token ids are those of the tokenizers library for a byte-level BPE file, with no special
+tokens put around, and one end id after each document. With `added`, as in the library's default
+setting, the file's added tokens are cut out of a text first and give their own ids; else they are ordinary text. Words are encoded once a batch. The merges run in
 tiktoken, over the vocabulary of the same file: its ids are ranks, so
 both libraries merge alike (the tests compare them).
 
@@ -22,12 +23,14 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def byte_names() -> dict[str, int]:
 class Encoder:
     """Ids of distinct words by a byte-level BPE vocabulary."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: bool = False):
         import tiktoken
 
         spec = json.loads(vocabulary)
@@ -56,9 +59,40 @@ class Encoder:
         ranks = {bytes(names[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.splitter = Splitter(pattern)
+        tokens = spec.get("added_tokens", []) if added else []
+        if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.added = {t["content"]: t["id"] for t in tokens}
+        # the first to start, of these the longest
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and where each text's start."""
+        if self.cut is None:
+            return self._ordinary(texts)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        has = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            has |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not has.any():
+            return self._ordinary(texts)
+        # a text with n added tokens becomes n + 1 ordinary ones
+        split = {i: self.cut.split(texts[i].as_py()) for i in np.flatnonzero(has).tolist()}
+        parts = [p for i in range(len(texts)) for p in (split[i][::2] if i in split else [texts[i].as_py()])]
+        ids, bounds = self._ordinary(pa.array(parts, pa.large_string()))
+        out, sizes, at = [ids[:0]], np.zeros(len(texts) + 1, dtype=np.int64), 0
+        for i in range(len(texts)):
+            tokens = split[i][1::2] if i in split else []
+            start = len(out)
+            for token in [*tokens, None]:
+                out.append(ids[bounds[at] : bounds[at + 1]])
+                at += 1
+                if token is not None:
+                    out.append(np.array([self.added[token]], dtype=ids.dtype))
+            sizes[i + 1] = sum(map(len, out[start:]))
+        return np.concatenate(out), np.cumsum(sizes)
+
+    def _ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, codes, bounds = self.splitter.batch(texts)
         encode = self.bpe.encode_ordinary
         ids = [encode(w) for w in words]
@@ -73,12 +107,12 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder(vocabulary: str, pattern: str) -> Encoder:
+def encoder(vocabulary: str, pattern: str, added: bool) -> Encoder:
     """One a Python worker, however many tasks it runs."""
-    key = hash((vocabulary, pattern))
+    key = hash((vocabulary, pattern, added))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(vocabulary, pattern)
+        _encoders[key] = Encoder(vocabulary, pattern, added)
     return _encoders[key]
 
 
@@ -88,7 +122,7 @@ def binary_lengths(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << b for b in reversed(range(size.bit_length())) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row per piece, which is one sequence: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, bucket (the power of two), and ids if with_ids.
 
@@ -97,14 +131,14 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_i
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern))  # of the vocabulary's fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern, added))  # of the vocabulary's fixed size
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket"] + ["ids"] * with_ids
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*shared.value)
         for whole in batches:
-            for part in bounded(whole):
+            for part in bounded(whole, 4 << 20):
                 yield one(enc, part)
 
     def one(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -270,3 +270,20 @@ def test_a_phone_is_the_same_however_it_is_written():
     digits = {"".join(c for c in pii.replace(f"x {v} y", f)[0] if c.isdigit()) for v in ("+49 171 1234567", "+49171 1234567", "+491711234567", "+49-171-123-4567")}
     assert len(digits) == 1 and digits.pop()[:2] == "49"
     assert pii.replace("x +353861234567 y", f)[0].startswith("x +353") and pii.replace("x +12125550147 y", f)[0].startswith("x +1")
+
+
+def test_packing_cuts_out_added_tokens(spark, tmp_path):
+    """The query's ids are those of the library's default setting."""
+    from tokenizers import Tokenizer
+
+    from corpuslab.llm import queries
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " \n<|endoftext|>\n ", "<|endoftext| > <|endoftext", "tail " * 3000 + "<|endoftext|> x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op10_packing(spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        want = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [(r["start"], r["length"]) for r in mine][-1] == (len(want) - mine[-1]["length"], mine[-1]["length"])
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) and r["doc_tokens"] == len(want) for r in mine)
