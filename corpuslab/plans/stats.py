@@ -13,7 +13,7 @@ from corpuslab.plans import base as S
 from corpuslab.sources import corpus as C
 
 QUERIES, SQL = {}, {}
-MAX_LEN, MIN_FREQ = 5, 3
+MAX_LEN, MIN_FREQ = X.DEFAULTS["max_token_len"], 3
 
 
 def query(sql: str | None = None):
