@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslab.llm.pieces import bounded
@@ -228,8 +229,9 @@ def _sample(labelled: DataFrame, sample_docs: int, sample_words: int) -> tuple[l
 
     counted = arrow_stage(sample.filter("mark > 0").select("lang", "text"), words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "words")
-    top = [r for x in sizes for r in counted.filter(F.col("lang") == x).orderBy(F.desc("n"), "word").limit(sample_words).collect()] if len(sizes) <= 64 else counted.orderBy(F.desc("n"), "lang", "word").limit(sample_words * 64).collect()
-    return [tuple(r) for r in top], sample.filter("mark = 0").select("lang", "text")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))  # of distinct words, cut short before the shuffle
+    top = counted.withColumn("rank", rank).filter(F.col("rank") <= sample_words).select("lang", "word", "n").collect()
+    return [tuple(r) for r in sorted(top, key=lambda r: (r["lang"], -r["n"], r["word"]))], sample.filter("mark = 0").select("lang", "text")
 
 
 def fit(labelled: DataFrame, order: int = 4, sample_docs: int = 600, sample_words: int = 60_000, tail: float = 0.999, slack: float = 1.0, least_chars: int = 100) -> Model | None:

@@ -287,3 +287,11 @@ def test_packing_cuts_out_added_tokens(spark, tmp_path):
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
         assert [(r["start"], r["length"]) for r in mine][-1] == (len(want) - mine[-1]["length"], mine[-1]["length"])
         assert all(r["ids_crc32"] == zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) and r["doc_tokens"] == len(want) for r in mine)
+
+
+def test_rare_languages_keep_their_words(spark):
+    """Seventy languages, of which two use many words often; the others' words are seen once."""
+    rows = [(i, f"{'word' if i < 2 else 'rare'}{chr(97 + i // 26)}{chr(97 + i % 26)} " * (40 if i < 2 else 1) + " ".join(f"w{chr(97 + i // 26)}{chr(97 + k)}" for k in range(20)) * (3 if i < 2 else 1), f"l{i:02d}") for i in range(70) for _ in (0, 1)]
+    labelled = spark.createDataFrame([(n, t, x) for n, (_, t, x) in enumerate(rows * 10)], "doc_id long, text string, lang string")
+    few, _ = lang_id._sample(labelled, 600, 1)
+    assert {x for x, _, _ in few} == {f"l{i:02d}" for i in range(70)} and len(few) == 70
