@@ -43,3 +43,21 @@ def test_all_words_are_decoded(spark, tmp_path):
             best[j] = min(best[i] - math.log(counts[w[i:j]] / total) for i in range(max(0, j - 14), j) if w[i:j] in counts)
         assert got[w] == pytest.approx(best[-1], abs=2e-6)
     assert set(got) == set(words) and max(map(len, got)) > 8
+
+
+def _small(spark, path):
+    texts = [f"{a} {b} the {c} nations" for a in ("walking", "talking", "working") for b in ("internationally", "nationally") for c in ("other", "seven")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+
+
+def test_growth_runs_until_nothing_improves(spark, tmp_path, monkeypatch):
+    _small(spark, tmp_path)
+    seen, train = [], learn.L.train
+    monkeypatch.setattr(learn.L, "train", lambda *a, **k: seen.append((k, train(*a, **k))) or seen[-1][1])
+    rows = learn.vocab_growth(spark, str(tmp_path)).collect()
+    assert seen[0][0] == {} and max(r["iteration"] for r in rows) > 1 and max(len(r["token"]) for r in rows) > 4
+    assert {r["token"] for r in learn.pricing_topk(spark, str(tmp_path)).collect()} == {r["token"] for r in rows if r["iteration"] == 1}
+    monkeypatch.setattr(learn, "BUDGET", 30)
+    left = {r["token"] for r in learn.budget_bisection(spark, str(tmp_path)).collect()}
+    grown = seen[0][1].vocab
+    assert left <= set(grown) and len(left) < len(grown) and {t for t in grown if len(t) == 1} <= left
