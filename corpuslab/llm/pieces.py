@@ -7,7 +7,7 @@ cut before such spaces and each kind of stretch split by the pattern only once a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,21 @@ import pyarrow.compute as pc
 import regex
 
 
+#: Words of more characters are given to `cut`.
+CUT = 32
+
+
 class Splitter:
-    def __init__(self, pattern: str):
-        self.pattern = regex.compile(pattern)
+    """cut: what a long word may be cut into without a change of its ids."""
+
+    def __init__(self, pattern: str, cut: Callable[[str], list[str]] | None = None):
+        self.pattern, self.cut = regex.compile(pattern), cut
 
     def split(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+        words = self.pattern.findall(text)
+        if self.cut is None or max(map(len, words), default=0) <= CUT:
+            return words
+        return [p for w in words for p in (self.cut(w) if len(w) > CUT else [w])]
 
     def batch(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words of all texts, and `codes` of them."""
@@ -46,14 +55,14 @@ class Splitter:
         run = np.concatenate(([0], np.cumsum(bad, dtype=np.int32)))
         odd = np.flatnonzero(run[offsets[1:]] > run[offsets[:-1]])  # texts with such a cut
         del bad, run
-        find, code = self.pattern.findall, lambda ws: [words.setdefault(w, len(words)) for w in ws]
+        find, code = self.split, lambda ws: [words.setdefault(w, len(words)) for w in ws]
         # letters alone are one word with the space before
         plain = pc.utf8_is_alpha(dictionary).to_numpy(zero_copy_only=False)
         flat: list[int] = []
         sizes = np.ones(len(kinds), dtype=np.int32)
         for i, (k, one) in enumerate(zip(kinds, plain.tolist(), strict=True)):
             k = " " + k
-            if one:
+            if one and len(k) <= CUT:
                 flat.append(words.setdefault(k, len(words)))
             else:
                 some = code(find(k))
