@@ -1,19 +1,23 @@
 """Chat formatting [DataFrame functions only]: quotation linking.
 
-Lines that start with one or more > are quotes; their number is the level. The lines of each level are cut into
-passages at blank lines and at other levels. A passage is normalised (lower case, one space between words) and hashed, and so
-is each of its lines of three words or more. Quoted hashes are joined to the first message of the
-same conversation that wrote them itself (level 0). A message replies to the earlier message of which it
-quotes most words, lowest level first. Following replies to their start gives the thread; threads in order of
-their first turn, and turns within a thread, are the conversation in reply order, and quotes are removed.
+Lines that start with one or more > are quotes; their number is the level. A passage is a run of lines of one level
+without a blank line. It is normalised (lower case, one space between words) and hashed, and so are its lines of
+three words or more if it has several. Quoted hashes are joined to what messages of the same conversation
+wrote themselves (level 0), texts compared; the first message that wrote it is the source, if it is an earlier one.
 
-The originals are reduced to one turn a hash before the join, so a line that many messages share joins once, not in pairs.
+A quoted passage is linked to the source of the whole passage, else to the source of most words of its lines (ties: the
+latest). A message replies to the source of its passages of the lowest linked level; of several, to that of which all
+its linked passages have most words (ties: the latest). Following replies to their start gives the thread, their number
+the level. Reply order is (thread, level, turn): a message stands before its replies, a thread in one
+piece, threads by their first turn. Quotes and the lines that introduce them are removed.
+
+What messages wrote is reduced to one turn a passage before the join, so a line that many messages share joins once, not in pairs.
 
 Defined results
   null text            the empty text
   null conv_id or turn carried; never linked
-  repeated rows        each returned with the same links
-  ties                 most words, then the latest turn
+  repeated rows        rows that share conv_id and turn are one message: each is returned, with the links of all
+  ties                 as above
   empty table          empty result
   extra columns        ignored
   very long texts      whole; a text of many lines stays linear a level
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.shared import materialise
+from corpuslab.llm.shared import materialise, maybe_broadcast
 
 QUOTE = r"^(?:[ \t]*>)+"
 #: Lines that introduce a quote.
@@ -38,10 +42,9 @@ def _normal(text: Column) -> Column:
 def _parsed(text: Column) -> Column:
     """Array of (level, body)."""
     prefix = lambda x: F.regexp_extract(x, QUOTE, 0)
-    return F.transform(
-        F.split(text, r"\r?\n", -1),
-        lambda x: F.struct(F.length(F.regexp_replace(prefix(x), r"[ \t]", "")).alias("level"), F.substring(x, F.length(prefix(x)) + 1, F.length(x)).alias("body")),
-    )
+    level = lambda x: F.length(F.regexp_replace(prefix(x), r"[ \t]", ""))
+    body = lambda x: F.substring(x, F.length(prefix(x)) + 1, F.length(x))
+    return F.transform(F.split(text, r"\r?\n", -1), lambda x: F.struct(level(x).alias("level"), body(x).alias("body")))
 
 
 def _passages(lines: Column, level: Column) -> Column:
@@ -49,31 +52,47 @@ def _passages(lines: Column, level: Column) -> Column:
     return F.filter(F.split(joined, r"\n\s*\n"), lambda p: F.trim(p) != "")
 
 
+def _units(messages: DataFrame, levels: Column) -> DataFrame:
+    """(conv_id, turn, k, level, p, line, unit, h, words): each passage p of the given levels (line 0) and its lines."""
+    at_level = messages.select("conv_id", "turn", "k", "lines", F.explode(levels).alias("level"))
+    passages = at_level.select("conv_id", "turn", "k", "level", F.posexplode(_passages(F.col("lines"), F.col("level"))).alias("p", "passage"))
+    rows = F.filter(F.split(F.trim("passage"), "\n"), lambda x: F.trim(x) != "")
+    long = lambda x: F.size(F.split(F.trim(x), r"\s+")) >= 3
+    unit = lambda line, x: F.struct(line.alias("line"), _normal(x).alias("unit"))
+    lines = F.transform(F.when(F.size(rows) > 1, F.filter(rows, long)).otherwise(F.array().cast("array<string>")), lambda x, i: unit(i + 1, x))
+    units = passages.select("conv_id", "turn", "k", "level", "p", F.inline(F.concat(F.array(unit(F.lit(0), F.col("passage"))), lines)))
+    return units.select("*", F.unhex(F.md5("unit")).alias("h"), F.size(F.split("unit", " ")).alias("words"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per input row: conv_id, turn, role, text (without quotes), n_quotes (quoted passages), n_linked,
-    reply_to (turn or null), thread (turn that the chain of replies starts from), level (replies up to it)."""
+    """One row per input row: conv_id, turn, role, text (without quotes), n_quotes (quoted passages of the row), n_linked (of them
+    with a source), reply_to (turn or null), thread (turn that the chain of replies starts from), level (replies up to it)."""
     base = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("raw"))
-    quoted = F.col("raw").rlike(r"(?m)^[ \t]*>")
-    known = base.select("conv_id", "turn", "role", "raw", quoted.alias("quoted"), _parsed(F.col("raw")).alias("lines"))
-    levels = known.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "lines", F.explode(F.array_distinct(F.transform("lines", lambda x: x["level"]))).alias("level"))
-    passages = levels.select("conv_id", "turn", "level", F.explode(_passages(F.col("lines"), F.col("level"))).alias("passage"))
-    own_lines = F.filter(F.split("passage", "\n"), lambda x: F.size(F.split(F.trim(x), r"\s+")) >= 3)
-    units = passages.select("conv_id", "turn", "level", F.explode(F.array_distinct(F.transform(F.concat(F.array("passage"), own_lines), _normal))).alias("unit"))
-    units = units.select("conv_id", "turn", "level", F.unhex(F.md5("unit")).alias("h"), F.size(F.split("unit", " ")).alias("words"))
-    quotes = materialise(units.filter("level > 0").distinct(), "quotes")
-    out = known.select("conv_id", "turn", "role", F.when(F.col("quoted"), _without(F.col("lines"))).otherwise(F.col("raw")).alias("text"), _count_quotes().alias("n_quotes"))
-    if not quotes.limit(1).count():
-        return out.select("*", F.lit(0).cast("bigint").alias("n_linked"), F.lit(None).cast("bigint").alias("reply_to"), F.col("turn").alias("thread"), F.lit(0).alias("level"))
-    convs = quotes.select("conv_id").distinct()
-    first = materialise(units.filter("level = 0").join(convs, "conv_id", "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("source")), "originals")
-    hits = quotes.join(first, ["conv_id", "h"]).filter("source < turn")
-    by_source = hits.groupBy("conv_id", "turn", "source").agg(F.min("level").alias("lvl"), F.sum("words").alias("words"), F.count("*").alias("hits"))
-    links = by_source.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("lvl"), "words", "source")).alias("reply_to"), F.sum("hits").alias("n_linked"))
-    links = materialise(links, "links")
-    chains = _threads(links.select("conv_id", "turn", "reply_to"))
-    linked = materialise(links.join(chains, ["conv_id", "turn"]), "linked")
-    joined = out.join(linked, ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("level", F.lit(0)).alias("level"))
+    known = base.select("*", F.col("raw").rlike(r"(?m)^[ \t]*>").alias("quoted"), _parsed(F.col("raw")).alias("lines"), F.unhex(F.md5("raw")).alias("k"))
+    out = known.select("conv_id", "turn", "role", F.when(F.col("quoted"), _without(F.col("lines"))).otherwise(F.col("raw")).alias("text"), _count_quotes().alias("n_quotes"), "k")
+    placed = known.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    deeper = F.filter(F.array_distinct(F.transform("lines", lambda x: x["level"])), lambda v: v > 0)
+    quotes = materialise(_units(placed.filter("quoted"), deeper).distinct(), "quotes")
+    convs = materialise(quotes.select("conv_id").distinct(), "convs")
+    wrote = placed.join(maybe_broadcast(convs, convs.count()), "conv_id", "left_semi")
+    first = _units(wrote, F.array(F.lit(0))).groupBy("conv_id", "h", "unit").agg(F.min("turn").alias("source"))
+    hits = quotes.join(materialise(first, "originals"), ["conv_id", "h", "unit"]).filter("source < turn")
+
+    message, passage = ["conv_id", "turn"], ["conv_id", "turn", "k", "level", "p"]
+    whole, in_lines = F.max(F.when(F.col("line") == 0, F.col("words"))), F.sum(F.when(F.col("line") > 0, F.col("words")))
+    by_source = hits.groupBy(*passage, "source").agg(whole.alias("whole"), in_lines.alias("in_lines"))
+    by_source = by_source.select(*passage, "source", F.col("whole").isNotNull().alias("is_whole"), F.coalesce("whole", "in_lines").alias("words"))
+    best = by_source.groupBy(*passage).agg(F.max(F.struct("is_whole", "words", "source")).alias("best"))
+    linked = materialise(best.select(*passage, "best.words", "best.source"), "linked")
+    counts = linked.groupBy(*message, "k").agg(F.count("*").alias("n_linked"))
+    sources = linked.groupBy(*message, "source").agg(F.min("level").alias("low"), F.sum("words").alias("words"))
+    replies = materialise(sources.groupBy(*message).agg(F.max_by("source", F.struct(-F.col("low"), "words", "source")).alias("reply_to")), "replies")
+    chains = _threads(replies).join(replies, message)
+    joined = out.join(materialise(chains, "chains"), message, "left").join(counts, [*message, "k"], "left")
+    return joined.select(
+        "conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to",
+        F.coalesce("thread", "turn").alias("thread"), F.coalesce("level", F.lit(0)).alias("level"),
+    )
 
 
 def _without(lines: Column) -> Column:
@@ -103,5 +122,5 @@ def _threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def chat_format(linked: DataFrame, start: str = "<|", end: str = "|>") -> DataFrame:
-    """The rows of `link_quotes` with `message`, one turn of a chat template; order by conv_id, thread, turn to read."""
+    """The rows of `link_quotes` with `message`, one turn of a chat template; in the order of conv_id, thread, level, turn they are the conversation."""
     return linked.withColumn("message", F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit(end + "\n"), F.col("text")))

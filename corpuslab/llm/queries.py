@@ -41,7 +41,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return chat_quotes.chat_format(chat_quotes.link_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
