@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.shared import ascii_lower, materialise, maybe_broadcast
+from corpuslab.llm.shared import ascii_lower, materialise, maybe_broadcast, unused
 
 
 def content_hash(text: Column) -> Column:
@@ -75,12 +75,14 @@ def decide(docs: DataFrame, keep: str = "max", normalise: Callable[[Column], Col
 def dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows that stay, with all their columns."""
     decisions = materialise(decide(docs, keep), "decisions")
-    gone = decisions.filter(~F.col("kept")).select(F.col("doc_id").alias("__cl_id"), F.col("h").alias("__cl_h"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__cl_twin"))
-    n, twins = gone.agg(F.count("*"), F.coalesce(F.sum(F.col("__cl_twin").cast("int")), F.lit(0))).first()
+    ident, mark, twin, own = (unused(x, docs.columns) for x in ("cl_id", "cl_h", "cl_twin", "cl_hash"))
+    is_twin = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = decisions.filter(~F.col("kept")).select(F.col("doc_id").alias(ident), F.col("h").alias(mark), is_twin.alias(twin))
+    n, twins = gone.agg(F.count("*"), F.coalesce(F.sum(F.col(twin).cast("int")), F.lit(0))).first()
     cols = [f"`{c}`" for c in docs.columns]
-    out = docs.withColumn("__cl_hash", content_hash(ascii_lower(F.coalesce("text", F.lit("")))))
-    other = gone.filter(~F.col("__cl_twin"))
-    out = out.join(maybe_broadcast(other, n), (F.col("__cl_hash") == F.col("__cl_h")) & F.col("doc_id").eqNullSafe(F.col("__cl_id")), "left_anti")
+    out = docs.withColumn(own, content_hash(ascii_lower(F.coalesce("text", F.lit("")))))
+    other = gone.filter(~F.col(twin))
+    out = out.join(maybe_broadcast(other, n), (F.col(own) == F.col(mark)) & F.col("doc_id").eqNullSafe(F.col(ident)), "left_anti")
     if twins:
-        out = out.dropDuplicates(["doc_id", "__cl_hash"])
+        out = out.dropDuplicates(["doc_id", own])
     return out.select(*cols)

@@ -3,13 +3,14 @@
 A document of n tokens is cut into pieces of the binary digits of n: as many
 pieces of `size` as fit, then one for each bit that is set in the rest, the largest
 first. Every piece is a sequence by itself in the bucket of its length, so no sequence crosses
-documents and none is padded. Batches are then drawn from one bucket at a time.
+documents and none is padded. Pieces of one bucket are put into batches of equal lengths, of `batch_tokens` tokens each
+but for the last of a bucket in a task.
 
 Token ids are those of the tokenizers library for a byte-level BPE file, with no special
 tokens put around, and one end id after each document. With `added`, as in the library's default
-setting, the file's added tokens are cut out of a text first and give their own ids; else they are ordinary text. Words are encoded once a batch. The merges run in
-tiktoken, over the vocabulary of the same file: its ids are ranks, so
-both libraries merge alike (the tests compare them).
+setting, the file's added tokens are cut out of a text first and give their own ids; else they are ordinary
+text. Words are encoded once a batch. The merges run in tiktoken, over the vocabulary of the same file: its ids
+rise with the order of its merges (which is checked), so both libraries merge alike (the tests compare them).
 
 Defined results
   null or empty text   one piece: the end id
@@ -56,7 +57,11 @@ class Encoder:
         spec = json.loads(vocabulary)
         special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
         names = byte_names()
-        ranks = {bytes(names[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        vocab = spec["model"]["vocab"]
+        ranks = {bytes(names[c] for c in t): i for t, i in vocab.items() if t not in special}
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError("ids must rise with the order of merges")
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.splitter = Splitter(pattern)
         tokens = spec.get("added_tokens", []) if added else []
@@ -122,28 +127,28 @@ def binary_lengths(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << b for b in reversed(range(size.bit_length())) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = True, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = True, added: bool = False, batch_tokens: int = 1 << 16) -> DataFrame:
     """One row per piece, which is one sequence: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, bucket (the power of two), and ids if with_ids.
+    sequence_id, offset, bucket (the power of two), batch_id (of pieces of one bucket), and ids if with_ids.
 
-    vocabulary is the content of a tokenizers file. Sequence ids are unique; they number
+    vocabulary is the content of a tokenizers file. Sequence and batch ids are unique; they number
     the pieces within each task's range, so no shuffle is needed to give them.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern, added))  # of the vocabulary's fixed size
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket"] + ["ids"] * with_ids
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int" + ", ids array<int>" * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket", "batch_id"] + ["ids"] * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int, batch_id long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(*shared.value)
+        enc, counts = encoder(*shared.value), [0] * size.bit_length()  # pieces of each bucket so far
         for whole in batches:
             for part in bounded(whole, 4 << 20):
-                yield one(enc, part)
+                yield one(enc, part, counts)
 
-    def one(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(enc: Encoder, batch: pa.RecordBatch, counts: list[int]) -> pa.RecordBatch:
         ids, bounds = enc.batch(batch.column(1))
-        at, start, length, crc, total, pieces = [], [], [], [], [], []
+        at, start, length, crc, total, group, pieces = [], [], [], [], [], [], []
         end = np.array([end_id], dtype="<u4")
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             doc = np.concatenate((ids[a:b], end)).astype("<u4", copy=False)
@@ -155,15 +160,19 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_i
                 length.append(n)
                 crc.append(zlib.crc32(piece.tobytes()))
                 total.append(len(doc))
+                bucket = n.bit_length() - 1
+                group.append(counts[bucket] * n // max(batch_tokens, n) * size.bit_length() + bucket)
+                counts[bucket] += 1
                 if with_ids:
                     pieces.append(piece.astype(np.int32))
                 pos += n
         ints = lambda x: pa.array(x, pa.int64())
-        arrays = [batch.column(0).take(ints(at)), ints(start), ints(length), ints(crc), ints(total), ints([0] * len(at)), pa.array([n.bit_length() - 1 for n in length], pa.int32())]
+        arrays = [batch.column(0).take(ints(at)), ints(start), ints(length), ints(crc), ints(total), ints([0] * len(at)), pa.array([n.bit_length() - 1 for n in length], pa.int32()), ints(group)]
         if with_ids:
             values = pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))
             arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), values))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     out = arrow_stage(docs.select("doc_id", "text"), run, schema)
+    out = out.withColumn("batch_id", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("batch_id"))
     return out.withColumn("sequence_id", F.monotonically_increasing_id())

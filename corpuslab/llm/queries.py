@@ -57,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         pieces = packing.pack(table(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN, with_ids=False, added=True)
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors see; a local one only where that is unset and driver and
+    executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_corpuslab_root", None) or f"file://{tempfile.mkdtemp(prefix='corpuslab-')}"
         spark._corpuslab_root = root
     return root.rstrip("/")
@@ -54,7 +57,41 @@ def _clean() -> None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session has gone; the folder's owner cleans it
-            return
+            continue
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or the first like it that no column has (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of the text, A-Z lower-cased; null is the empty text."""
+    return F.xxhash64(ascii_lower(F.coalesce(text, F.lit(""))))
+
+
+def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots(node, root): components of text keys. Of the rows of a component one stays, with all its columns: that of the
+    smallest doc_id, then of the smallest text key. Rows without an id stay; rows that share an id but not a
+    component each stay."""
+    key, ident, copies = (unused(x, docs.columns) for x in ("cl_key", "cl_id", "cl_copies"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("node"))
+    counted = materialise(rows.groupBy("doc_id", "node").agg(F.count("*").alias(copies)), "rows")
+    rooted = counted.join(maybe_broadcast(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("root", "x")
+    least = materialise(least, "least")
+    several = rooted.join(maybe_broadcast(least, least.count()), "root")
+    gone = materialise(several.filter(F.struct("doc_id", "node") != F.col("x")).select(F.col("doc_id").alias(ident), F.col("node").alias(key + "_")), "gone")
+    repeated = counted.filter(F.col(copies) > 1).limit(1).count()
+    out = docs.withColumn(key, text_key(F.col("text")))
+    out = out.join(maybe_broadcast(gone, gone.count()), (F.col("doc_id") == F.col(ident)) & (F.col(key) == F.col(key + "_")), "left_anti")
+    if repeated:  # rows equal in id and text
+        out = out.filter("doc_id is not null").dropDuplicates(["doc_id", key]).unionByName(out.filter("doc_id is null"))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def arrow_stage(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:

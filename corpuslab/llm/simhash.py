@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.components import components
-from corpuslab.llm.shared import arrow_stage, materialise, maybe_broadcast
+from corpuslab.llm.shared import arrow_stage, keep_one, materialise, maybe_broadcast, text_key
 
 BLOCK = 1 << 16
 
@@ -213,12 +213,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, bucket: in
 
 
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component, the one whose doc_id names it, with all its columns. Rows
-    without an id stay; rows that repeat an id count as one document."""
-    found = materialise(near_components(docs, words, radius), "found")
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__cl_id")), "gone")
-    repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    out = docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id") == F.col("__cl_id"), "left_anti")
-    if repeats:
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component of texts, as `keep_one` says, with all its columns."""
+    texts = docs.select(text_key(F.col("text")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = near_components(texts, words, radius)
+    return keep_one(docs, materialise(found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")), "roots"))

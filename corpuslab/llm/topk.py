@@ -15,7 +15,9 @@ Defined results
   null vector, null or non-finite component   takes no part, neither as query nor as candidate
   null vec_id          takes no part
   vectors of unequal length   only those of the most frequent length (ties: the greater) take part
-  repeated rows        a row whose vec_id is the query's own is no candidate; rows that repeat an id count once
+  repeated rows        every row takes part; a row whose vec_id is the query's own is no candidate, and queries that share
+                       a vec_id share one list
+  large components     sums are exact up to 2**62; greater ones raise
   ties                 the smaller vec_id
   fewer than k others  all of them
   empty table          empty result
@@ -24,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm.shared import materialise
 
 LEVELS = 16
+#: Digits of an impact that are added up at once: with fewer than 2**21 dimensions their sums stay below 2**53.
+DIGITS = 32
 
 
 class ImpactIndex:
@@ -50,6 +55,8 @@ class ImpactIndex:
         self.ids = np.tile(np.arange(n), dims)[order]
         self.cuts = np.searchsorted(key[order], np.arange(dims * levels + 1))
         self.floor = (self.low[:, None] + width[:, None] * np.arange(levels)).ravel()  # least value of each segment
+        if int(np.abs(vectors).max(initial=0)) >> 40:
+            raise OverflowError("components of over 40 bits")
         self.top = np.minimum(self.floor + np.repeat(width, levels) - 1, np.repeat(self.high, levels))
         self.dims, self.levels = dims, levels
 
@@ -68,20 +75,22 @@ class ImpactIndex:
         order = np.argsort(-most, kind="stable")
         order = order[sizes[order] > 0]
         done = np.cumsum(sizes[order])
-        # one sum holds the impacts (low digits) and the number of dimensions seen (high digits), exactly
-        unit = 1 << int(most.reshape(self.dims, self.levels).max(axis=1).sum() + 1).bit_length()
-        if unit * (self.dims + 1) >= 1 << 53:
-            return np.arange(n)  # too large to add up exactly: all are rescored
-        total, at = np.zeros(n), 0
+        # sums of doubles are exact below 2**53: impacts of more digits are added up in parts
+        bound = int(most.reshape(self.dims, self.levels).max(axis=1).astype(object).sum())
+        if bound >= 1 << 62:
+            raise OverflowError("scores of over 62 bits")
+        parts = range(0, max(1, bound.bit_length()), DIGITS)
+        reached, seen, at = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), 0
         for r in range(1, rounds + 1):
             upto = len(order) if r == rounds else max(at + 1, int(np.searchsorted(done, done[-1] * r / rounds)) + 1)
             part = order[at:upto]
             ids = np.concatenate([self.ids[self.cuts[s] : self.cuts[s + 1]] for s in part.tolist()])
-            total += np.bincount(ids, weights=np.repeat(most[part] + unit, sizes[part]), minlength=n)
+            seen += np.bincount(ids, minlength=n)
+            for low in parts:
+                digits = most[part] >> low & ((1 << DIGITS) - 1)
+                reached += np.bincount(ids, weights=np.repeat(digits, sizes[part]), minlength=n).astype(np.int64) << low
             at = upto
             rest = int(most[order[at]]) if at < len(order) else 0  # no open segment adds more
-            seen = np.floor(total / unit)
-            reached = total - seen * unit
             upper = reached + (self.dims - seen) * rest
             bar = np.partition(reached, n - k)[n - k] - hidden  # k rows have at least this
             possible = np.flatnonzero(upper >= bar)
@@ -98,11 +107,11 @@ def _search(k: int, enough: int):
         matrix = lambda t: np.array(t.column("v").combine_chunks().flatten().to_numpy(), dtype=np.int64).reshape(t.num_rows, -1)
         ids = vectors.column("vec_id").to_numpy()
         x = matrix(vectors)
-        index, exact = ImpactIndex(x), x.astype(np.float64)
+        index, exact, own = ImpactIndex(x), x.astype(np.float64), Counter(ids.tolist())
         small = int(np.abs(x).max()) ** 2 * x.shape[1] < 1 << 52  # sums are exact as doubles
         out: tuple[list, list, list] = ([], [], [])
         for qid, q in zip(queries.column("vec_id").to_numpy().tolist(), matrix(queries), strict=True):
-            rows = index.search(q, k + 1, enough)  # one more, as the query itself may be among them
+            rows = index.search(q, k + own.get(qid, 0), enough)  # more by those that are the query's own
             rows = rows[ids[rows] != qid]
             score = (exact[rows] @ q.astype(np.float64)).astype(np.int64) if small else x[rows] @ q
             best = np.lexsort((ids[rows], -score))[:k]
@@ -124,14 +133,15 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 2048, query_block: int = 1024, enough: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. is_query: a condition over vec_id."""
-    rows = materialise(quantised(vectors, scale).dropDuplicates(["vec_id"]), "vectors")
+    rows = materialise(quantised(vectors, scale), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dims, n = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
     rows = rows.filter((F.size("v") == dims) & (F.size("v") > 0))
     blocks = max(1, -(-n // block))
     n_queries = rows.filter(is_query).count()
     query_blocks = max(1, -(-n_queries // query_block))
-    place = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
+    # by the vector too, as one id may be repeated many times
+    place = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(m)).cast("int")
     # each block of queries meets each block of vectors once
     q = rows.filter(is_query).withColumn("qb", place("q", query_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     c = rows.withColumn("vb", place("v", blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -139,3 +139,25 @@ def test_rows_without_id_link_components(spark, monkeypatch):
     out = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = {int(r["fingerprint"], 16): r["component_id"] for r in out}
     assert got == {0: 4, 3: 4, 15: 4, 1023 << 30: None, 1022 << 30: None, 255 << 50: 6, 254 << 50: 6} and len(out) == len(rows)
+
+
+def test_rows_that_share_an_id_are_not_lost(spark):
+    """Stages keep rows of one id but unlike texts; rows equal in both stay once; names that stages use may be taken."""
+    from corpuslab.llm import near
+
+    rows = [(1, "first text of seven words here now", 1, 1), (1, "another thing with quite unlike words", 2, 2), (1, "another thing with quite unlike words", 3, 3), (2, "FIRST text of seven words here now", 4, 4), (None, "x", 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cl_id int, cl_key int").withColumnsRenamed({"cl_id": "cl_hash"})
+    for found in (near.near_dedup(docs), simhash.near_dedup(docs), exact_dedup.dedup(docs, "min")):
+        out = found.collect()
+        assert found.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["text"][:5]) for r in out) == [("1", "anoth"), ("1", "first"), ("None", "x")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpuslab.llm import shared
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_root(cluster)
