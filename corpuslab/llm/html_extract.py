@@ -1,11 +1,12 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is flattened into text blocks: block-level tags end a block, inline tags don't. Each block has
-its number of words, its link density (share of words inside links), both for its neighbours, and
-what its ancestors say: a container that is never article text (nav, footer,
+its number of words, its link density (share of words inside links), both for its neighbours, whether it is a heading, and
+hints of its ancestors: a container that is never article text (nav, footer,
 aside, form ... or a class or id word such as sidebar, cookie, advert, comments), or one that is
-(article, main, or a class or id word such as content, post-body). A decision tree over these features, grown
-by Gini impurity from the small labelled table below, decides for each block.
+(article, main, or a class or id word such as content, post-body). A decision tree, grown by Gini impurity from the
+labelled blocks below, decides for each block. Every labelled page counts twice, with its hints and without any, so words and link
+density decide on pages without containers, and inside an article they tell lists of links from text.
 
 Defined results
   null or empty html, no block   empty text, 0 characters
@@ -34,6 +35,7 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br button caption
 HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map textarea select datalist head title".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SELF_ENDING = frozenset("p li td th tr dt dd option".split())
 OUTER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 INNER_TAGS = frozenset("article main".split())
 OUTER_WORDS = frozenset(
@@ -42,6 +44,11 @@ OUTER_WORDS = frozenset(
     " comment comments reply replies respond disqus discussion share sharing social related recommended recommendations more-links tags pagination pager copyright legal disclaimer form search skip".split()
 )
 INNER_WORDS = frozenset("article articlebody article-body content entry entry-content post post-body post-content story storytext main main-content body-text text".split())
+#: Words that may stand beside an outer word in a class or id: cookie-bar is a notice, share-price is not.
+COMPANIONS = frozenset(
+    "area bar block body bottom box button buttons col column container content desktop fixed global group head icon icons id inner item items layer left line link links list main mobile"
+    " module nav outer overlay page panel primary right row secondary section site slot sticky tabs text thread title tool tools top unit wrap wrapper zone".split()
+)
 OUTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -50,22 +57,44 @@ SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outer", "inner", "heading", "seen_inner")
 
-#: Neighbours that blocks of the table stand between: words and links before, words and links after.
-SITES = ((0, 0.0, 0, 0.0), (40, 0.0, 0, 0.0), (0, 0.0, 40, 0.0), (3, 1.0, 50, 0.0), (50, 0.0, 4, 1.0), (30, 0.0, 30, 0.0), (1, 1.0, 1, 1.0))
+#: The labelled table. Fixed values, made for this module: one page a line, its blocks in order as container, words, share of words
+#: in links, and h for headings; blocks in capitals are article text. Containers: n, m (menus, other boilerplate), a (article), d (none).
+PAGES = """
+n1/1 n1/1 n2/1 n1/1 m6 A9h A60 A45/.1 A3 A80 m9/.2
+n1/1 n1/1 n1/1 A7h A30 A12h A55 A1 A24/.5 A40 m12 m2/1
+m4h n2/1 n3/1 n1/1 m5 A8h A140 A90/.05 A6/.6 A70 n4/1 n5/1 n4/1 m16
+n1/1 n2/1 A5h A16 A14 A18/.2 A2/1 A33 n6/1 n7/1 n5/1 m3h m30 m25 m40
+n1/1 n1/1 m20 A10h A2 A4 A3 A5 A2 m8
+n3/1 n2/1 n4/1 n3/1 A6h A35 A5/1 A28 A50 a4/1 a5/1 a3/1 a6/1 m14 m2/1 m3/1
+n1/1 n1/1 A11h A25 A70 A8 A12 A60 a2/1 a3/.9 a2/1 m10/.1 m5
+m12 n1/1 n2/1 n1/1 m7 A60 A45 A30/.3 m11 m18/.6
+n2/1 n1/1 m8/.8 m3 A4h A22 A9 A31 A7h A26 A44 m4h m3/1 m5/1 m4/1 m6/.4
+n1/1 A3h A120 A2h A95 A2h A150 m6/1
+n1/1 n1/1 n1/1 n1/1 m9 m4 A8h A200 m13/.1
+m2/1 m2/1 m5h A7h A18/.4 A65/.1 A10 A15 A52 m20/.1 m35 m28
+n1/1 n1/1 n1/1 m7 A9h A300 A280 m8/.25
+n1/1 n2/1 n1/1 m10 A6h A1 A1 A40 m9
+n5/1 n6/1 n4/1 d9 d5/.8 A8h A48 A39 A66/.05 d6 d3/1 d12/.4
+d1/1 d2/1 d1/1 d6 A9h A42 A70 A11 A64 d8 d2/1
+m6/.1 A12h A26 A8/.2 A9 A30 m9 m12 m30
+n1/1 n2/1 n1/1 A60 A45/.1 m8
+n2/1 n3/1 A70 A33 A3/1 A48 m4/1
+n1/1 n1/1 n4/1 A90 A42 A57 n2/1 n1/1
+A7h A90 A60 A75
+A50
+A2h A3
+"""
 
-#: The labelled table: the features above, then 1 for article text. Fixed values, made for this module.
-LABELLED = [
-    # blocks of an article element, of any length and between any neighbours, linked or not
-    *[(w, x, b, lb, a, la, 0, 1, h, 1, 1) for w, x, h in ((1, 0.0, 0), (3, 0.0, 1), (8, 0.5, 0), (16, 0.0, 0), (30, 0.2, 0), (60, 0.0, 0), (120, 0.0, 0), (2, 1.0, 0)) for b, lb, a, la in SITES],
-    # blocks of boilerplate containers, likewise, on pages with and without an article
-    *[(w, x, b, lb, a, la, 1, 0, h, s, 0) for s in (0, 1) for w, x, h in ((1, 1.0, 0), (3, 0.0, 1), (5, 0.0, 0), (9, 0.3, 0), (16, 0.0, 0), (30, 0.0, 0), (60, 0.0, 0), (120, 0.1, 0)) for b, lb, a, la in SITES],
-    # on pages that have an article: what stands outside it
-    *[(w, x, b, lb, a, la, 0, 0, h, 1, 0) for w, x, h in ((1, 1.0, 0), (3, 0.0, 1), (7, 0.0, 0), (12, 0.3, 0), (16, 0.0, 0), (30, 0.0, 0), (60, 0.0, 0), (120, 0.0, 0)) for b, lb, a, la in SITES],
-    # pages that have none: text density decides
-    *[(w, 0.0, b, 0.0, a, 0.0, 0, 0, 0, 0, 1) for w, b, a in ((60, 40, 50), (30, 2, 40), (22, 50, 18), (16, 20, 0), (90, 0, 0), (12, 40, 45), (10, 30, 25))],
-    (24, 0.1, 30, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (40, 0.25, 5, 0.0, 60, 0.1, 0, 0, 0, 0, 1), (18, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 1), (8, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0, 1), (4, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 0, 1),
-    *[(w, x, b, lb, a, la, 0, 0, 0, 0, 0) for w, x, b, lb, a, la in ((1, 1.0, 1, 1.0, 1, 1.0), (4, 1.0, 40, 0.0, 3, 1.0), (6, 0.8, 2, 1.0, 30, 0.0), (2, 0.0, 1, 1.0, 2, 0.0), (4, 0.0, 2, 1.0, 3, 1.0), (5, 0.0, 3, 0.0, 0, 0.0), (3, 0.0, 4, 1.0, 5, 0.5), (14, 0.7, 10, 0.9, 8, 1.0), (25, 0.9, 12, 1.0, 6, 1.0), (2, 0.5, 0, 0.0, 4, 0.6))],
-]
+
+def labelled(pages: str = PAGES) -> list[tuple]:
+    """The features of each block, then 1 for article text; each page with its hints and without."""
+    out = []
+    for line in pages.split("\n"):
+        blocks = [re.fullmatch(r"([a-zA-Z])([0-9]+)(?:/([0-9.]+))?(h?)", x).groups() for x in line.split()]
+        for hints in (True, False):
+            made = [Block("", int(w), float(x or 0), int(hints and c in "nm"), int(hints and c in "aA"), int(bool(h))) for c, w, x, h in blocks]
+            out += [(*x, int(c == "A")) for x, (c, *_) in zip(features(made), blocks, strict=True)]
+    return out
 
 
 @dataclass
@@ -109,7 +138,7 @@ def grow(rows: list[tuple], depth: int = 8, least: int = 1) -> Node:
 
 @cache
 def tree() -> Node:
-    return grow(LABELLED)
+    return grow(labelled(), least=4)
 
 
 @dataclass
@@ -132,11 +161,12 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, int, bool]:
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
                 for token in value.split():
-                    parts = {token, *re.split(r"[-_]+", token)}
                     if token in INNER_WORDS and tag not in ("body", "html"):
                         inner = True
-                    elif parts & OUTER_WORDS and tag not in ("body", "html", "article", "main"):
-                        outer = True
+                    elif tag not in ("body", "html", "article", "main"):
+                        parts = {x for x in re.split(r"[-_0-9]+", token) if x}
+                        if token in OUTER_WORDS or (parts & OUTER_WORDS and parts <= OUTER_WORDS | COMPANIONS):
+                            outer = True
             elif name == "role":
                 outer, inner = outer or value in OUTER_ROLES, inner or value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
@@ -151,9 +181,15 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     # open elements: (tag, outer, inner, hidden) with what they inherit
     stack: list[tuple[str, int, int, bool]] = []
+    opened: dict[str, int] = {}  # how many of each tag are on the stack, so that none is looked for in vain
     state, anchors, heading, at, size = (0, 0, False), 0, 0, 0, len(page)
     state_now = state
 
+    def close(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
     def flush() -> None:
         nonlocal parts, linked
         if parts:
@@ -188,10 +224,8 @@ def blocks(page: str) -> list[Block]:
                 anchors = max(0, anchors - 1)
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             state = stack[-1][1:] if stack else (0, 0, False)
             if tag in BLOCK_TAGS and tag not in ("br", "hr"):
                 anchors = 0  # an unclosed link ends with its block
@@ -206,13 +240,12 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end an open one of their kind
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "div", "article", "section", "main", "aside", "nav", "footer", "header", "form", "body", "select", "dl", "blockquote"):
-                    break
+        if tag in SELF_ENDING and opened.get(tag):  # it ends an open one of its kind, if no other block stands between
+            k = len(stack) - 1
+            while stack[k][0] != tag and (stack[k][0] in SELF_ENDING or stack[k][0] not in BLOCK_TAGS):
+                k -= 1
+            if stack[k][0] == tag:
+                close(k)
             state = stack[-1][1:] if stack else (0, 0, False)
         if tag in BLOCK_TAGS or tag in HIDDEN_TAGS or "class" in m[3] or "id" in m[3]:
             o, i, h = _kind(tag, m[3], bool(state[1]))
@@ -221,6 +254,7 @@ def blocks(page: str) -> list[Block]:
                 outer = 1 if o or (state[0] and not (i and tag in INNER_TAGS)) else 0
                 state = (outer, 0 if outer else int(i or state[1]), state[2] or h)
                 stack.append((tag, *state))
+                opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
