@@ -11,7 +11,8 @@ and formats of writing; length, separators and validity are kept.
   ssn       xxx-xx-xxxx in the ranges that are issued
   iban      passes mod 97; country stays, check digits are computed anew
   ip        IPv4 with octets to 255, but loopback and 0.0.0.0
-  date      calendar dates of 1900 to 2099 as y-m-d, d/m/y, m/d/y, d.m.y; stay valid in the same order
+  date      calendar dates of 1900 to 2099 as y-m-d, d/m/y, m/d/y, d.m.y (m/d/y if both fit); a day moves among those whose
+            month and day have as many digits and, as to being over 12, a like day, so every format can write it
   email     letters stay letters and digits stay digits in the local part; the domain stays
   secret    hexadecimal or alphanumeric values of 16 and more characters after token/key/secret/password =
 
@@ -34,6 +35,7 @@ import datetime
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,14 +44,14 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.shared import arrow_stage
 
-#: For tests. In production the key comes from a secret store, through this setting.
+#: The key comes from a secret store, through this setting. The second is for tests and the registered queries on made-up tables.
 KEY_SETTING, TEST_KEY = "spark.corpuslab.pii.key", "corpuslab-test-key"
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "ssn", "date", "phone", "card", "secret")
 
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[^\W_](?:[\w.+%-]{0,62}\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b)"
-    r"|(?P<secret>(?i:(?<![A-Za-z])(?:[a-z_-]*(?:token|secret|api[_-]?key|password|passwd|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,})(?![A-Za-z0-9+/_-]))"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b)"
+    r"|(?P<secret>(?i:(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,})(?![A-Za-z0-9+/_-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
@@ -155,8 +157,17 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-N_DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
+def day_class(m: int, d: int) -> str:
+    """What the pseudonym of a day shares with it, however the day is written."""
+    return f"{int(m > 9)}{int(d > 9) + int(d > 12)}"
+
+
+@cache
+def days(kind: str) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """The days of 1900 to 2099 of a class in order, and the place of each."""
+    first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+    found = [t for t in map(datetime.date.fromordinal, range(first, last + 1)) if day_class(t.month, t.day) == kind]
+    return found, {t: i for i, t in enumerate(found)}
 
 
 def _card(v: str, f: Feistel, back: bool) -> str | None:
@@ -233,8 +244,6 @@ def _ip(v: str, f: Feistel, back: bool) -> str | None:
 
 
 def _date(v: str, f: Feistel, back: bool) -> str | None:
-    """Dates keep their number of digits and field order. A date whose first two fields could be either
-    day or month moves among such dates only, the others among theirs."""
     sep = re.search(r"[-/.]", v)[0]
     fields = v.split(sep)
     if len(fields[0]) == 4:
@@ -246,21 +255,11 @@ def _date(v: str, f: Feistel, back: bool) -> str | None:
         order, d, m = ("dmy", a, b) if a > 12 else ("mdy", b, a)
     if not (1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
-    either = sep != "." and order != "ymd"
-    widths = {k: len(x) for k, x in zip(order, fields, strict=True)}
-
-    def fits(t: datetime.date) -> bool:
-        if either and (t.day > 12) != (d > 12):
-            return False
-        return all(len(str(x)) <= w and (w == 2 or x < 10) for x, w in ((t.month, widths["m"]), (t.day, widths["d"])))
-
-    x = datetime.date(y, m, d).toordinal() - FIRST_DAY
-    while True:
-        x = f.permute(x, N_DAYS, "date", back)
-        if fits(t := datetime.date.fromordinal(FIRST_DAY + x)):
-            break
+    kind = day_class(m, d)
+    found, place = days(kind)
+    t = found[f.permute(place[datetime.date(y, m, d)], len(found), "date" + kind, back)]
     value = {"y": t.year, "m": t.month, "d": t.day}
-    return sep.join(str(value[k]).zfill(widths[k]) for k in order)
+    return sep.join(str(value[k]).zfill(len(x)) for k, x in zip(order, fields, strict=True))
 
 
 def _email(v: str, f: Feistel, back: bool) -> str | None:
@@ -352,14 +351,21 @@ def _run(key: str, text_at: int, counts: bool):
     return run
 
 
+def _key(docs: DataFrame, key: str | None) -> str:
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"no key: give one, or set {KEY_SETTING}")
+    return key
+
+
 def find(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text (with pseudonyms), n_values, and n_<kind> for each kind."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
+    key = _key(docs, key)
     schema = "doc_id long, text string, n_values long, " + ", ".join(f"n_{k} int" for k in KINDS)
     return arrow_stage(docs.select("doc_id", "text"), _run(key, 1, True), schema)
 
 
 def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """All columns; text with pseudonyms. Lengths stay, so n_chars stays true."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
+    key = _key(docs, key)
     return arrow_stage(docs, _run(key, docs.columns.index("text"), False), docs.schema)

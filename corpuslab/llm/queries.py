@@ -13,7 +13,7 @@ from corpuslab.llm.shared import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"), spark.conf.get(pii.KEY_SETTING, pii.TEST_KEY))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

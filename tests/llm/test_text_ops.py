@@ -158,9 +158,9 @@ def test_feistel_is_a_permutation(n, data):
 def test_pii_table(spark):
     rows = [(1, "mail a.b1@example.org now", "x"), (None, None, "y"), (2, "", None), (3, "7 words " * 20_000 + "59.36.80.30", "z"), (1, "mail a.b1@example.org now", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_values string")
-    out = pii.find(docs).collect()
+    out = pii.find(docs, "k").collect()
     assert len(out) == 5 and sum(r["n_values"] for r in out) == 3 and out[0]["text"] == out[4]["text"] != rows[0][1] and out[1]["text"] is None
-    assert pii.pseudonymise(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs, "k").columns == docs.columns and pii.find(docs.limit(0), "k").count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body class="menu"><header><h1>Site</h1></header>
