@@ -1,11 +1,15 @@
 """License scans: winnowed fingerprints, an inverted index of templates, banded alignment.
 
 Texts are reduced to lower-case words with one space between. All k-grams of bytes are hashed, and of each window of w
-hashes the least is kept, on both sides, so a run of w + k - 1 equal bytes always shares a fingerprint. The inverted
-index maps a fingerprint to its places in the templates; its size is that of the templates. A hit
-fixes a diagonal; hits on near diagonals are one candidate, which is aligned word by word within a band round it.
+hashes the least is kept, in templates and texts alike, so a run of w + k - 1 = 19 equal bytes always shares a fingerprint. The
+inverted index maps a fingerprint to its places in the templates; its size is that of the templates. A hit
+fixes a diagonal; hits on near diagonals are one candidate. A candidate whose words, each as often as both sides hold it, are
+too few for the coverage cannot match; any other is aligned word by word within a band round it.
 The alignment gives the words matched, the coverage of the template and the span in the text.
 
+Templates are single sentences, notices and the whole texts of short licences; the long ones (Apache, GPL, MPL) are found by
+the notice that they tell users to put into their files.
+
 Defined results
   null or empty text   no match
   null doc_id          carried as it is
@@ -13,11 +17,12 @@ Defined results
   ties                 of overlapping matches the one with more matched words, then more coverage, then the first template by name
   empty table          empty result
   extra columns        ignored
-  very long texts      whole, in slices of bounded memory that overlap a document's end only
+  very long texts      whole; documents are taken together up to 4 MB, a longer one alone
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm.pieces import bounded
 from corpuslab.llm.shared import arrow_stage
 
-# Notices in the words of the published licences.
+# Notices and licences in the words in which they are published.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
@@ -58,6 +63,39 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0/short": "Licensed under CC BY-SA 4.0.",
 }
 
+# Whole texts of short licences, without names and years.
+TEMPLATES |= {
+    "MIT": TEMPLATES["MIT/grant"] + " " + TEMPLATES["MIT/warranty"],
+    "BSD/disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING "
+    "IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC/warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY '
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+    "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+    "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+    "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+    "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this "
+    "entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or "
+    "derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+    'copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT '
+    "SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+TEMPLATES |= {
+    "BSD-2-Clause": TEMPLATES["BSD/conditions"] + " " + TEMPLATES["BSD/disclaimer"],
+    "BSD-3-Clause": TEMPLATES["BSD/conditions"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    + TEMPLATES["BSD/disclaimer"],
+    "ISC": TEMPLATES["ISC/grant"] + " " + TEMPLATES["ISC/warranty"],
+}
+
 K, WINDOW = 12, 8
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 or b == 0 else 32 for b in range(256))
 
@@ -117,10 +155,11 @@ class Index:
         self.names = sorted(templates)
         self.texts = [bytes(normalise(templates[n].encode())[0]).strip() for n in self.names]
         self.words = [t.split() for t in self.texts]
+        self.counts = [Counter(w) for w in self.words]
         found = []
         for i, t in enumerate(self.texts):
             h = hashes(np.frombuffer(t, np.uint8))
-            found += [(int(h[p]), i, int(p)) for p in range(len(h))]  # all places: any kept hash of a text then hits
+            found += [(int(h[p]), i, int(p)) for p in winnow(h)]
         found.sort()
         self.keys = np.array([f[0] for f in found], dtype=np.uint64)
         self.places = [(f[1], f[2]) for f in found]
@@ -211,10 +250,12 @@ def scan(norm: np.ndarray, hits: list[tuple[int, int, int]], idx: Index, coverag
             middle = (low + high) // 2
             offset = int(np.searchsorted(starts, middle))
             band = 3 + len(idx.words[t]) // 8 + int(np.searchsorted(starts, high) - np.searchsorted(starts, low))
+            at = upto + 1
+            if (Counter(words) & idx.counts[t]).total() < coverage * len(idx.words[t]):
+                continue
             matched, first, last = align(idx.words[t], words, offset, band)
             if last >= 0 and matched >= coverage * len(idx.words[t]):
                 found.append((matched, matched / len(idx.words[t]), t, spans[first][0], spans[last][1]))
-            at = upto + 1
     out = []
     for matched, _, t, x, y in sorted(found, key=lambda f: (-f[0], -f[1], idx.names[f[2]], f[3])):
         if all(y <= p or x >= q for _, _, p, q in out):
