@@ -5,8 +5,8 @@ the set of values of their own format. The permutation is the same everywhere, s
 equal values stay equal (and different ones different) across documents
 and formats of writing; length, separators and validity are kept.
 
-  card      13 to 19 digits that pass the Luhn check (single spaces or hyphens allowed); the last
-            digit is computed anew
+  card      13 to 19 digits of an issuer's range that pass the Luhn check (single spaces or hyphens allowed); the
+            first four stay, the last is computed anew
   phone     international (+ and 8 to 15 digits) or (xxx) xxx-xxxx / xxx-xxx-xxxx; the country code (by a table) stays
   ssn       xxx-xx-xxxx in the ranges that are issued
   iban      passes mod 97; country stays, check digits are computed anew
@@ -170,12 +170,24 @@ def days(kind: str) -> tuple[list[datetime.date], dict[datetime.date, int]]:
     return found, {t: i for i, t in enumerate(found)}
 
 
+def is_issued(d: str) -> bool:
+    """Whether the first digits are of a range of issuers, and the length is one of its cards."""
+    two, four, n = int(d[:2]), int(d[:4]), len(d)
+    if d[0] == "4":
+        return n in (13, 16, 19)
+    if d[0] == "5" or 2221 <= four <= 2720:
+        return n == 16
+    if two in (34, 37):
+        return n == 15
+    return (d[0] == "6" and n >= 16) or (d[0] == "3" and two != 31 and n >= 14)
+
+
 def _card(v: str, f: Feistel, back: bool) -> str | None:
     d = _only(v)
-    if luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    if not is_issued(d) or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
         return None
     for _ in range(1000):  # a number of one digit only is no card: walk on
-        body = f.digits(d[:-1], "card", back)
+        body = d[:4] + f.digits(d[4:-1], "card" + d[:4], back)
         d = body + str(luhn(body))
         if len(set(d)) > 1:
             return _fill(v, d)
