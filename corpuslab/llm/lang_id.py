@@ -2,18 +2,22 @@
 
 Each word (a run of letters, lower-cased) is a string of its own between start and end
 marks. `train` counts n-grams of every language on a bounded sample, smooths them
-(interpolated Kneser-Ney, one discount an order) and stores, for each order, one sorted array of
+(interpolated Kneser-Ney, one discount an order; n-grams that begin at a start mark count how often they occur, the
+others of lower orders how many characters stand before them) and stores, for each order, one sorted array of
 n-gram hashes with a column of log probabilities a language, and a column of
 back-off weights a language for the n-grams that are contexts. A language's score for a text is its
 cross-entropy a character; the lowest wins.
 
-Bound (documented parameter): `sample_docs` documents a language, by ascending hash of their id, and of
-their words the `sample_words` most frequent a language. Prediction reads every whole text.
+Bound (documented parameters): about `sample_docs` documents a language, by a hash of their id, and of
+their words of at most SAMPLE_WORD letters the `sample_words` most frequent a language. Prediction reads every whole text.
 
 Rejection is calibrated on documents of the sample that the models have not
-seen: a language's limit is the `tail` quantile of the cross-entropies of its
-own documents plus `slack` nats. Documents above the limit of the language chosen, and documents
-without a letter, are marked rejected.
+seen and that have `least_chars` characters to score, as shorter ones say little of the language: a language's limit is the
+`tail` quantile of the cross-entropies of its own documents plus `slack` nats. Documents above the limit of the language chosen, and
+documents without a letter, are marked rejected.
+
+The score is the chosen language's share of the likelihoods of a text of the same cross-entropies and SCORED characters at
+most; without that bound it would be 1 for any text of some length.
 
 Defined results
   null text, empty text, no letter   lang_pred und, score 0, rejected
@@ -47,6 +51,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
 #: Longest word that models learn from; with the number of words it bounds the sample.
 SAMPLE_WORD = 1000
+#: Characters that the score takes a text to have at most.
+SCORED = 50
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,7 +91,8 @@ def _hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
 class Model:
     langs: list[str]
     order: int
-    floor: float = 0.0  # log probability of a character never seen
+    floor: float = 0.0  # log probability of each character of an alphabet that holds twice as many and more, known or not
+    unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log weight of that alphabet by language
     keys: list[np.ndarray] = field(default_factory=list)  # [k]: sorted hashes of k-grams
     logp: list[np.ndarray] = field(default_factory=list)  # [k]: rows of keys[k], columns of langs
     back: list[np.ndarray] = field(default_factory=list)  # [k]: log back-off weight of a k-gram as context
@@ -98,11 +105,8 @@ class Model:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, at, -1)
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word: log probability by language, and characters scored."""
-        if not words:
-            return np.zeros((0, len(self.langs))), np.zeros(0)
-        points, scored, word = _marked(words, self.order)
+    def steps(self, points: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Log probability, by language, of the character at each place of `scored` after those before it."""
         h = _hashes(points, self.order)
         out = np.zeros((len(scored), len(self.langs)))
         open_ = np.arange(len(scored))
@@ -113,9 +117,16 @@ class Model:
             if k > 1 and len(open_):  # weight of the context that is left
                 ctx = self.find(k - 1, h[k - 1][scored[open_] - 1])
                 out[open_[ctx >= 0]] += self.back[k - 1][ctx[ctx >= 0]]
-        out[open_] += self.floor
+        out[open_] += self.unseen + self.floor
+        return out
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: log probability by language, and characters scored."""
+        if not words:
+            return np.zeros((0, len(self.langs))), np.zeros(0)
+        points, scored, word = _marked(words, self.order)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
-        return np.add.reduceat(out, cuts, axis=0), np.bincount(word, minlength=len(words)).astype(float)
+        return np.add.reduceat(self.steps(points, scored), cuts, axis=0), np.bincount(word, minlength=len(words)).astype(float)
 
 
 def train(counts: list[tuple[str, str, int]], order: int = 4) -> Model:
@@ -130,24 +141,25 @@ def train(counts: list[tuple[str, str, int]], order: int = 4) -> Model:
         for k in range(1, order + 1):
             key, first, inverse = np.unique(h[k][scored], return_index=True, return_inverse=True)
             at = scored[first]
-            grams[k].append((key, np.bincount(inverse, weights=weight), h[k - 1][at - 1] if k > 1 else np.zeros_like(key), h[k - 1][at]))
+            grams[k].append((key, np.bincount(inverse, weights=weight), h[k - 1][at - 1] if k > 1 else np.zeros_like(key), h[k - 1][at], points[at - k + 1] == START))
     model.keys = [np.zeros(0, np.uint64)] + [np.unique(np.concatenate([g[0] for g in grams[k]])) for k in range(1, order + 1)]
     # contexts hold start marks too, which are never scored, so they get rows of their own
     for k in range(1, order):
         model.keys[k] = np.unique(np.concatenate([model.keys[k], *[g[2] for g in grams[k + 1]]]))
     model.floor = -np.log(max(2.0, 4.0 * max(len(g[0]) for g in grams[1])))
+    model.unseen = np.zeros(n_langs)
     prob = [None] + [np.zeros((len(model.keys[k]), n_langs)) for k in range(1, order + 1)]
     model.back = [np.zeros((len(k), n_langs)) for k in model.keys]
     for i in range(n_langs):
         for k in range(1, order + 1):
-            key, count, context, suffix = grams[k][i]
+            key, raw, context, suffix, first = grams[k][i]
+            count = raw
             if k < order:  # continuation counts: distinct characters before the gram
                 longer = grams[k + 1][i]
                 left, times = np.unique(longer[3], return_counts=True)
-                count = np.zeros(len(key))
                 pos = np.searchsorted(left, key)
                 pos = np.minimum(pos, len(left) - 1)
-                count = np.maximum(np.where(left[pos] == key, times[pos], 1), 1).astype(float)
+                count = np.where(first, raw, np.where(left[pos] == key, times[pos], 1)).astype(float)
             n1, n2 = (count == 1).sum(), (count == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             ctx, inverse = np.unique(context, return_inverse=True)
@@ -156,6 +168,7 @@ def train(counts: list[tuple[str, str, int]], order: int = 4) -> Model:
             if k == 1:
                 lower = np.exp(model.floor)
                 rest = np.full(len(model.keys[1]), lam[0] * lower)
+                model.unseen[i] = np.log(lam[0])
             else:
                 at = np.searchsorted(model.keys[k - 1], ctx)
                 weight = np.ones(len(model.keys[k - 1]))
@@ -277,7 +290,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 low = ent[np.arange(n), best]
                 some = chars > 0
                 pred = np.where(some, np.array(m.langs, dtype=object)[best], UNKNOWN).tolist()
-                odds = np.exp(-(ent - low[:, None]) * np.minimum(chars, 50)[:, None])
+                odds = np.exp(-(ent - low[:, None]) * np.minimum(chars, SCORED)[:, None])
                 score = np.where(some, 1 / odds.sum(axis=1), 0.0)
                 entropy = np.where(some, low, np.nan)
                 rejected = ~some | ((low > m.limit[best]) & some)

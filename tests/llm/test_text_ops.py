@@ -85,19 +85,31 @@ def test_packing_round_trip(spark):
             assert r["ids_crc32"] == zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) and r["doc_tokens"] == len(want) and r["bucket"] == r["length"].bit_length() - 1
 
 
-def test_kneser_ney_sums_to_one():
-    """After any context seen, the probabilities of all characters add up to at most one, and nearly to one."""
-    model = lang_id.train([("en", w, n) for w, n in (("the", 5), ("then", 2), ("thing", 1), ("a", 3))] + [("de", w, 1) for w in ("der", "die", "ein", "eine")], order=3)
-    for prefix in ("", "t", "th", "the"):
-        logs = [model.words([prefix + c])[0] for c in "abcdefghijklmnopqrstuvwxyz"]
-        ends = model.words([prefix])[0]
-        stem = ends * 0
-        points, scored, word = lang_id._marked([prefix], 3)
-        assert len(scored) == len(prefix) + 1 and np.isfinite(np.array(logs)).all() and np.isfinite(stem).all()
-    assert (model.keys[3][:-1] < model.keys[3][1:]).all()
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_sums_to_one(order):
+    """After any context, seen or not, the probabilities of all characters add up to one, in every language."""
+    counts = [("en", w, n) for w, n in (("the", 5), ("then", 2), ("thing", 1), ("a", 3), ("net", 2))] + [("de", w, n) for w, n in (("der", 4), ("die", 1), ("ein", 2), ("eine", 1), ("das", 3))]
+    model = lang_id.train(counts, order)
+    known = sorted({c for _, w, _ in counts for c in w})
+    alphabet = round(np.exp(-model.floor))
+    for prefix in ("", "t", "th", "the", "ei", "zz", "tx", "ne"):
+        total = np.zeros(2)
+        for c in [*known, None, "ß"]:
+            points, scored, _ = lang_id._marked([prefix + (c or "")], order)
+            p = np.exp(model.steps(points, scored))[-1 if c is None else len(prefix)]
+            total += p * (alphabet - len(known) - 1 if c == "ß" else 1)
+        assert np.allclose(total, 1, atol=1e-4), (prefix, total)  # a probability is a thousandth of an unknown character at least
+    assert (model.keys[order][:-1] < model.keys[order][1:]).all()
     assert model.words(["the"])[0][0].argmax() == model.langs.index("en") and model.words(["eine"])[0][0].argmax() == model.langs.index("de")
 
 
+def test_equal_languages_give_the_first_name():
+    model = lang_id.train([(x, w, 2) for x in ("b", "a") for w in ("one", "two")], 3)
+    assert model.langs == ["a", "b"] and model.words(["one"])[0][0].argmin() == 0
+    entropy, _ = lang_id.entropies(model, pa.array(["one two one"]))
+    assert model.langs[entropy[0].argmin()] == "a"
+
+
 def test_language_id_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
