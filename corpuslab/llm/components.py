@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.shared import materialise, maybe_broadcast
+from corpuslab.llm.shared import materialise, maybe_broadcast, scratch
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -36,17 +36,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b): any direction, repeats and loops allowed. Returns (node, root), root the
     smallest node it can reach; nodes without an edge to another node don't appear."""
-    now = materialise(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    sums = lambda e: e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-    seen = sums(now)
-    for _ in range(max_rounds if seen[0] else 0):
-        now = materialise(_small_star(_large_star(now)), "small")
-        if (new := sums(now)) == seen:
-            break
-        seen = new
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+    with scratch():
+        now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        sums = lambda e: e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        seen = sums(now)
+        for _ in range(max_rounds if seen[0] else 0):
+            now = materialise(_small_star(_large_star(now)), "small")
+            if (new := sums(now)) == seen:
+                break
+            seen = new
+        else:
+            if seen[0]:
+                raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

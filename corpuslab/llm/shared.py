@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,21 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, but for the last, which must hold all that is read later."""
+    start = len(_made)
+    yield
+    _delete(_made[start:-1])
+    del _made[start:-1]
+
+
 def _clean() -> None:
-    for spark, path in _made:
+    _delete(_made)
+
+
+def _delete(tables: list[tuple[object, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
