@@ -51,6 +51,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
 #: Longest word that models learn from; with the number of words it bounds the sample.
 SAMPLE_WORD = 1000
+#: Words that are scored at once.
+WORDS = 20_000
 #: Characters that the score takes a text to have at most.
 SCORED = 50
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +211,10 @@ def _entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kinds = coded.dictionary.to_pylist()
     found = [LETTERS.findall(x) for x in kinds]
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    score, chars = model.words([w for f in found for w in f])
+    words = [w for f in found for w in f]
+    parts = [model.words(words[i : i + WORDS]) for i in range(0, max(len(words), 1), WORDS)]
+    score, chars = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del words, parts
     owner = np.repeat(np.arange(len(kinds)), sizes)
     n = len(kinds)
     by_kind = np.stack([*(np.bincount(owner, weights=score[:, i], minlength=n) for i in range(len(model.langs))), np.bincount(owner, weights=chars, minlength=n)], axis=1)

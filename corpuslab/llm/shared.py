@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +17,7 @@ from pyspark.sql.types import StructType
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 #: Of an Arrow batch sent to Python.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 _made: list[tuple[object, str]] = []
 
@@ -109,9 +111,19 @@ def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def arrow_stage(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches bounded by bytes, as rows may be long texts. The setting holds for the session."""
+    """mapInArrow with batches bounded by bytes, as rows may be long texts. The setting holds for the session. A worker gives
+    its free memory back when a task ends, as it waits idle beside those of later stages."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+                trim(0)
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed, schema)
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
