@@ -5,6 +5,8 @@ All run inside the JVM. Offsets count code points.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -240,6 +242,11 @@ def merge_cjk(tokens: Column, most: int = 8) -> Column:
     return F.when(F.exists(tokens, lambda t: matches(t, X.CJK)), F.aggregate(tokens, start, step, flush)).otherwise(tokens)
 
 
+def python_words(text: str) -> list[str]:
+    """The words of `words` with the default pattern, outside Spark: letters, digits and marks that Python takes for word characters."""
+    return re.findall(r"\b\w+\b", text)
+
+
 def token_spans(tokens: Column) -> Column:
     """Spans of tokens that cover a text without gaps, by their lengths."""
     total = lambda n: F.aggregate(F.slice(tokens, F.lit(1), n), F.lit(0), lambda a, t: a + F.length(t))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslab.functions import vectors as V
+from corpuslab.operators import metrics as M
 from corpuslab.sources.shared import materialise
 
 
@@ -156,3 +157,64 @@ def analogies(questions: DataFrame, vecs: DataFrame) -> DataFrame:
     free = questions.join(found, "qid").filter("nid <> a and nid <> b and nid <> c")
     best = free.groupBy("qid").agg(F.min_by("nid", "rank").alias("answer"), F.first("d").alias("d"))
     return best.select("qid", "answer", (F.col("answer") == F.col("d")).alias("right"))
+
+
+def word_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None, lower: bool = True) -> DataFrame:
+    """pairs(w1, w2, score) against vectors(word, vector): (found, not_found, rho), Spearman's correlation of the scores and the cosines.
+    Without `lower` a word that isn't known is looked up with a capital first letter."""
+    right = left if right is None else right
+
+    def side(rows: DataFrame, vectors: DataFrame, w: str, v: str) -> DataFrame:
+        plain = vectors.groupBy("word").agg(F.first("vector").alias(v)).withColumnRenamed("word", w)
+        out = rows.join(plain, w, "left")
+        if not lower:
+            capital = plain.withColumnsRenamed({w: "__c", v: "__v"})
+            out = out.join(capital, F.initcap(w) == F.col("__c"), "left").withColumn(v, F.coalesce(v, "__v")).drop("__c", "__v")
+        return out
+
+    both = side(side(pairs.select("w1", "w2", "score"), left, "w1", "a"), right, "w2", "b")
+    cosine = V.dot(F.col("a"), F.col("b")) / (F.sqrt(V.dot(F.col("a"), F.col("a"))) * F.sqrt(V.dot(F.col("b"), F.col("b"))))
+    known = both.filter("a is not null and b is not null").select("score", cosine.alias("cosine"))
+    rho = M.correlations(known, "score", "cosine").select(F.col("n").alias("found"), F.col("spearman").alias("rho"))
+    return rho.crossJoin(F.broadcast(both.agg(F.count("*").alias("all")))).select("found", (F.col("all") - F.col("found")).alias("not_found"), "rho")
+
+
+def sentence_vectors(words: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """words(id, word) occurrences, vectors(word, vector), weights(word, idf) -> (id, vector): the weighted sum of a sentence's known words
+    of length one. Components meet in partial sums, so no task holds a sentence."""
+    rows = words.join(vectors.select("word", "vector"), "word").join(weights.select("word", "idf"), "word")
+    parts = rows.select("id", "idf", F.posexplode("vector").alias("i", "x")).groupBy("id", "i").agg(F.sum(F.col("x") * F.col("idf")).alias("x"))
+    whole = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # as many as dimensions
+    norm = lambda v: F.sqrt(V.dot(v, v))
+    return whole.select("id", F.transform("v", lambda x: x / F.greatest(norm(F.col("v")), F.lit(1e-12))).alias("vector"))
+
+
+def principal_axes(vectors: DataFrame, k: int = 2, col: str = "vector") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes): the k directions of most variance, by the sums of outer products that each Arrow batch adds up; the driver gets one
+    matrix of dimensions a batch of partitions. Signs: the largest component of an axis is positive."""
+
+    def sums(batches):
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
+                x = np.hstack((np.ones((len(x), 1)), x))
+                total, n = x.T @ x + (0 if total is None else total), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    m = F.posexplode("m").alias("i", "x")
+    cells = vectors.select(col).mapInArrow(sums, "m array<double>").select(m).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # dimensions squared
+    size = round(len(cells) ** 0.5)
+    gram = np.array([c["x"] for c in cells]).reshape(size, size)
+    mean = gram[0, 1:] / gram[0, 0]
+    values, axes = np.linalg.eigh(gram[1:, 1:] / gram[0, 0] - np.outer(mean, mean))
+    axes = axes[:, np.argsort(-values)[:k]].T
+    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, col: str = "vector") -> DataFrame:
+    """The vectors' coordinates on the axes, as `point`."""
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    moved = F.zip_with(F.col(col), centre, lambda x, m: x - m)
+    return vectors.withColumn("point", F.array(*[V.dot(moved, F.array(*[F.lit(float(x)) for x in a])) for a in axes]))

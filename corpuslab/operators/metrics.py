@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuslab.operators.stats import ranked
+from corpuslab.operators.stats import placed, ranked
 
 EPS = 1e-12
 
@@ -129,15 +130,19 @@ def pair_consistency(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
-    """Average ranks with ties, from the sizes of equal values: rows of a value are never gathered in one task."""
-    sizes = rows.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    below = F.coalesce(F.sum("__c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select(*by, F.col(value).alias("__v"), (below + (F.col("__c") + 1) / 2).alias(name))
-    cond = F.col(value) == F.col("__v")
-    for b in by:
-        ranks = ranks.withColumnRenamed(b, f"__{b}")
-        cond = cond & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    return rows.join(ranks, cond, "left").drop("__v", *(f"__{b}" for b in by))
+    """Average ranks with ties: the middle of the places of equal values in a global order by group and value, less the places before
+    the group. No task holds a group or the rows of a value."""
+    order = placed(rows.select(*by, value).filter(F.col(value).isNotNull()).withColumn("__r", F.xxhash64(F.monotonically_increasing_id())), *by, value, "__r")
+    middle = order.groupBy(*by, value).agg(((F.min("rank") + F.max("rank")) / 2).alias("__m"))
+    start = order.groupBy(*by).agg(F.min("rank").alias("__s"))
+    keys = {b: f"__{b}" for b in (*by, value)}
+    same = lambda cols: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(keys[c])) for c in cols], F.lit(True))
+    out = rows.join(middle.withColumnsRenamed(keys), same((*by, value)), "left").drop(*keys.values())
+    if by:
+        out = out.join(start.withColumnsRenamed(keys), same(by), "left").drop(*keys.values())
+    else:
+        out = out.withColumn("__s", F.lit(1))
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), F.col("__m") - F.col("__s") + 1)).drop("__m", "__s")
 
 
 def correlations(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import fixed as X
 from corpuslab.functions import text as T
+from corpuslab.operators import evaluate as E
 from corpuslab.operators import gold as G
 from corpuslab.operators import metrics as M
 from corpuslab.operators.experiments import expand_grid
 from corpuslab.plans import base as S
 from corpuslab.plans.stats import AFFIXES
 from corpuslab.sources import corpus as C
+from corpuslab.sources.shared import materialise
 
 QUERIES, SQL = {}, {}
 VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüAEIOUYÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ"
@@ -323,3 +327,24 @@ def vocabulary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = C.document_words(_docs(spark, sf_dir)).groupBy("word").agg(F.max(F.col("lang") == "en").alias("a"), F.max(F.col("lang") != "en").alias("b"))
     k = w.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("en only"), F.count("*").alias("either"))
     return k.unpivot([], ["both", "en only", "either"], "side", "n")
+
+
+@query()
+def sentence_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL4 WIN8 AGG23 AGG25: every line against rule-made gold of its words, cut into vowel groups; checked against plain Python in tests."""
+    docs = _docs(spark, sf_dir)
+    rows = C.lines(docs).select((F.col("doc_id") * (1 << 20) + F.col("line_no")).alias("id"), "lang", "text", F.regexp_extract_all("text", F.lit(SYLLABLES), F.lit(0)).alias("tokens"))
+    gold = G.rule_gold(spark, C.document_words(docs).select("lang", "word").distinct())
+    kinds = G.rule_segments(gold).groupBy("lang", "word").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("segments"))
+    return rounded(E.sentence_scores(E.sentences(rows, gold.join(kinds, ["lang", "word"]).withColumn("line", F.xxhash64("word")))), "sentence_similarity", "boundary_f1", "boundary_precision", "boundary_recall", "morphological_score")
+
+
+@query()
+def word_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL1 UDF1 UDF4: the registered tokenizers and a Python one on all distinct words with rule-made gold."""
+    gold = G.rule_gold(spark, C.document_words(_docs(spark, sf_dir)).select("lang", "word").distinct())
+    kinds = G.rule_segments(gold).groupBy("lang", "word").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("segments"))
+    rows = materialise(gold.join(kinds, ["lang", "word"]).select("lang", "word", "boundaries", "segments"), "gold")
+    halves = E.batch_tokenizer(lambda text, lang: [text[: len(text) // 2], text[len(text) // 2 :]])
+    found = [E.words(rows, t)[0].select(F.lit(name).alias("tokenizer"), "*") for name, t in (("characters", "characters"), ("whitespace", "whitespace"), ("halves", halves))]
+    return rounded(reduce(DataFrame.unionByName, found), "precision", "recall", "f1")

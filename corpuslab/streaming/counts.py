@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import fixed as X
 from corpuslab.functions import text as T
+from corpuslab.sources.shared import shared_root
 
 
 def type_counts(docs: DataFrame, pattern: str = X.WORD) -> DataFrame:
@@ -38,12 +39,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def run_once(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process all that there is and return the sink's table."""
-    spark = result.sparkSession
-    name = f"sink_{uuid.uuid4().hex}"
-    q = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Process all that there is and return the result as a table in the shared folder: executors write it, and state and progress
+    are kept there too, so a lost executor or a new driver goes on from the last batch."""
+    spark, schema = result.sparkSession, result.schema
+    root = f"{shared_root(spark)}/corpuslab/stream-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        """In complete mode each batch is the whole result; a batch that runs again writes its own folder anew."""
+        path = f"{root}/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            written.clear()
+        written.append(path)
+
+    q = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:

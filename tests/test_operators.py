@@ -92,7 +92,7 @@ def test_affixes(spark, tmp_path):
 
 
 def test_gold_sources(spark, tmp_path):
-    meta = json.dumps({"segments": [{"span": [0, 1, 2, 3], "type": "stem"}, {"span": [4, 5, 6], "type": "suffix"}]})
+    meta = json.dumps({"segmentation": [{"span": [0, 1, 2, 3], "type": "stem"}, {"span": [4, 5, 6], "type": "suffix"}]})
     (tmp_path / "x.useg").write_text(f"walking\tv\tx\twalk + ing\t{meta}\nredo\tv\tx\tre+do\t{{}}\nshort\trow\n")
     rows = {r["word"]: r for r in G.read_useg(spark, str(tmp_path / "x.useg")).collect()}
     assert rows["walking"]["boundaries"] == [4] and [s["type"] for s in rows["redo"]["segments"]] == ["prefix", "suffix"] and rows["redo"]["boundaries"] == [2]
