@@ -1,4 +1,4 @@
-"""The driver contract, with and without the training-data subpackage, and all SQL that has an oracle on the smallest tables."""
+"""The driver contract, with and without the training-data subpackage."""
 
 import os
 import shutil
