@@ -39,6 +39,16 @@ from corpuslab.llm.shared import arrow_stage, keep_one, materialise, maybe_broad
 BLOCK = 1 << 16
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
+    return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
+
+
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     """bytes.lower() changes A-Z only, bytes.split() splits at the six ASCII white-space bytes."""
     found = (text or b"").lower().split()
@@ -54,9 +64,8 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     for at in range(0, n, BLOCK):
         upto = min(n, at + BLOCK)
         spans = zip(starts[at:upto].tolist(), ends[at + words - 1 : upto + words - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
+        counts += set_bits(np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8"))
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
