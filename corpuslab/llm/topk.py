@@ -52,8 +52,9 @@ class ImpactIndex:
         level = (vectors - self.low) // width
         key = (level + np.arange(dims) * levels).T.ravel()  # dimension by dimension
         order = np.argsort(key, kind="stable")
-        self.ids = np.tile(np.arange(n), dims)[order]
-        self.cuts = np.searchsorted(key[order], np.arange(dims * levels + 1))
+        cuts = np.searchsorted(key[order], np.arange(dims * levels + 1))
+        self.sizes = np.diff(cuts)
+        self.ids = np.split(np.tile(np.arange(n), dims)[order], cuts[1:-1])  # of each segment
         self.floor = (self.low[:, None] + width[:, None] * np.arange(levels)).ravel()  # least value of each segment
         if int(np.abs(vectors).max(initial=0)) >> 40:
             raise OverflowError("components of over 40 bits")
@@ -69,7 +70,7 @@ class ImpactIndex:
         worst = np.repeat(np.minimum(query * self.low, query * self.high), self.levels)  # the shift of each dimension
         a, b = q * self.floor - worst, q * self.top - worst
         least, most = np.minimum(a, b), np.maximum(a, b)
-        sizes = np.diff(self.cuts)
+        sizes = self.sizes
         # what quantising can hide in a sum, at most
         hidden = int(((most - least) * (sizes > 0)).reshape(self.dims, self.levels).max(axis=1).sum())
         order = np.argsort(-most, kind="stable")
@@ -79,14 +80,21 @@ class ImpactIndex:
         bound = int(most.reshape(self.dims, self.levels).max(axis=1).astype(object).sum())
         if bound >= 1 << 62:
             raise OverflowError("scores of over 62 bits")
+        # a posting's count goes above its lowest digits where both fit, so that one sum a round gives both
+        joint = bound.bit_length() + self.dims.bit_length() <= 53
         parts = range(0, max(1, bound.bit_length()), DIGITS)
         reached, seen, at = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), 0
         for r in range(1, rounds + 1):
             upto = len(order) if r == rounds else max(at + 1, int(np.searchsorted(done, done[-1] * r / rounds)) + 1)
             part = order[at:upto]
-            ids = np.concatenate([self.ids[self.cuts[s] : self.cuts[s + 1]] for s in part.tolist()])
-            seen += np.bincount(ids, minlength=n)
-            for low in parts:
+            ids = np.concatenate([self.ids[s] for s in part.tolist()])
+            if joint:
+                both = np.bincount(ids, weights=np.repeat((most[part] + (1 << bound.bit_length())).astype(np.float64), sizes[part]), minlength=n).astype(np.int64)
+                seen += both >> bound.bit_length()
+                reached += both & ((1 << bound.bit_length()) - 1)
+            else:
+                seen += np.bincount(ids, minlength=n)
+            for low in () if joint else parts:
                 digits = most[part] >> low & ((1 << DIGITS) - 1)
                 reached += np.bincount(ids, weights=np.repeat(digits, sizes[part]), minlength=n).astype(np.int64) << low
             at = upto
@@ -114,6 +122,9 @@ def _search(k: int, enough: int):
             rows = index.search(q, k + own.get(qid, 0), enough)  # more by those that are the query's own
             rows = rows[ids[rows] != qid]
             score = (exact[rows] @ q.astype(np.float64)).astype(np.int64) if small else x[rows] @ q
+            if len(rows) > k:
+                good = score >= np.partition(score, len(score) - k)[len(score) - k]  # ties of the last stay
+                rows, score = rows[good], score[good]
             best = np.lexsort((ids[rows], -score))[:k]
             out[0].extend([qid] * len(best))
             out[1].extend(ids[rows][best].tolist())

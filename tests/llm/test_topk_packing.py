@@ -59,3 +59,17 @@ def test_merges_out_of_order_are_refused():
     spec["model"]["merges"][0], spec["model"]["merges"][1] = spec["model"]["merges"][1], spec["model"]["merges"][0]
     with pytest.raises(ValueError, match="merges"):
         packing.Encoder(json.dumps(spec), P.PATTERN)
+
+
+@pytest.mark.parametrize("size", [60, 1 << 24])
+def test_a_round_takes_one_sum_where_its_digits_fit(monkeypatch, size):
+    """Counts and impacts come from one sum a round; impacts of more digits take one each and a count. Both find the best."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, size, (500, 16))).astype(np.int64)
+    index, calls, bincount = topk.ImpactIndex(x), [], np.bincount
+    monkeypatch.setattr(topk.np, "bincount", lambda *a, **k: calls.append(k.get("weights") is not None) or bincount(*a, **k))
+    for q in x[:10]:
+        calls.clear()
+        rows = index.search(q, 6, 0)
+        assert set(np.argsort(-(x @ q), kind="stable")[:6].tolist()) <= set(rows.tolist())
+        assert len(calls) <= 8 and all(calls) if size == 60 else len(calls) > 8 and not all(calls)
