@@ -59,7 +59,11 @@ def run_once(result: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream."""
-    schema = spark.read.parquet(path).schema
+    """A Parquet file or folder as a stream. A folder may be named like a file; its name is no pattern for the files inside."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
