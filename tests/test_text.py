@@ -1,6 +1,7 @@
 """Text functions against direct restatements on tiny inputs."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,30 @@ def test_patterns_compile():
     for p in (X.URL, X.EMAIL, X.NUMBER, X.EMOJI):
         D._python(p)
     assert re.fullmatch(X.IDENTIFIER, "a_1")
+
+
+def test_offsets_and_runs_are_linear_in_long_lines(spark):
+    from corpuslab.operators import evaluate as E
+
+    texts = ["a ab. a", "", "x" * 5 + " " + "é " * 3, "日本 a 日本"]
+    rows = spark.createDataFrame([(i, t, re.findall(r"\w+", t)) for i, t in enumerate(texts)] + [(9, "ab", ["b", "a", "q"])], "id long, text string, tokens array<string>")
+    got = {r["id"]: r["spans"] for r in E.token_offsets(rows).collect()}
+    for r in rows.select("id", T.locate_tokens(F.col("text"), F.col("tokens")).alias("x")).collect():
+        assert [(a["s"], a["e"]) for a in got[r["id"]]] == [(a["s"], a["e"]) for a in r["x"]]
+    assert {r["id"]: (r["tokens"], r["kept"]) for r in D.kept_counts(spark.createDataFrame([(1, ["a", ".", ",", "_", "b"]), (2, [])], "id long, tokens array<string>")).collect()} == {1: (5, 3), 2: (0, 0)}
+    one_line = spark.createDataFrame([(1, "word, , " * 200_000)], "id long, text string")
+    began = time.time()  # searches from the beginning would take 4e10 steps
+    found = E.token_offsets(one_line.select("id", "text", T.words(F.col("text")).alias("tokens"))).select(F.element_at("spans", -1)["e"].alias("e")).first()
+    assert found["e"] == 8 * 200_000 - 4 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("text", ["", " ", "a b c", "a b c d", "  a b c  ", " a b c d　 ", "a  b c", "a\tb c d e", "   ", "x" * 50, "a b c ", "日 本 語 x"])
+def test_spaces_are_told_early(spark, text):
+    assert one(spark, T.too_many_spaces, text) is (text.strip().count(" ") > 2)
+
+
+@pytest.mark.parametrize("text", ["redİrect", "REDİRECT", "red i　rect", "w e\titerleitung", "yönlendİr", "YÖNLENDIR", "redırect", "ПЕРЕНАПРАВ", "إعادةتوجيه", "UMLEITEN", "転送", "direct red", "x"])
+def test_redirects_are_not_lost_before_the_patterns(spark, text):
+    t = F.col("t")
+    exact = lambda t: T.matches(t, "(?u)" + X.REDIRECT) | F.regexp_replace(F.upper(t), rf"{X.SPACE}+", "").contains("REDIRECT") | F.regexp_replace(F.upper(t), rf"{X.SPACE}+", "").contains("WEITERLEITUNG")
+    assert one(spark, T.is_redirect, text) == one(spark, exact, text)
