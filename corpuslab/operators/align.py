@@ -6,6 +6,8 @@ block of sources once; each pair of blocks returns the best k a source, and thos
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,41 +19,74 @@ from corpuslab.operators import metrics as M
 from corpuslab.sources.shared import materialise
 
 
+#: Vectors of a block; rows and columns of a tile of products; groups of a tile's columns; pairs worked out in double precision at once.
+BLOCK, TILE, GROUPS, PAIRS = 65_536, (1024, 8192), 128, 100_000
+
+
 def _matrix(t: pa.Table) -> np.ndarray:
     return np.array(t.column("vec").combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(t.num_rows, -1)
 
 
-def neighbours(src: DataFrame, tgt: DataFrame, k: int, block: int = 4096, same: bool = False) -> DataFrame:
-    """src(id, vec), tgt(id, vec) -> (id, nid, sim, rank): the k best cosines, ties by id. same: an id isn't its own neighbour."""
-    n_src, n_tgt = src.count(), tgt.count()
-    sb, tb = max(1, -(-n_src // block)), max(1, -(-n_tgt // block))
+def _kept(x: np.ndarray, y: np.ndarray, ys: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, inner product to 9 digits) of the `keep` best of each row of x, ties by ys. Products in single precision leave out what
+    is below the keep-th best of the groups' best by more than their error; the rest is worked out in double precision."""
+    error = 4 * x.shape[1] * 2.0**-24 * np.sqrt((x * x).sum(axis=1).max() * (y * y).sum(axis=1).max())
+    bound = np.full(len(x), -np.inf)
+    single, found = x.astype(np.float32), []
+    for at in range(0, len(y), TILE[1]):
+        part = y[at : at + TILE[1]].astype(np.float32)
+        sims = single @ part.T
+        size = -(-len(part) // GROUPS)
+        if keep <= len(part) // size and np.isfinite(error):
+            whole = len(part) // size  # groups
+            best = sims[:, : whole * size].reshape(len(x), whole, size).max(axis=2)
+            bound = np.maximum(bound, np.partition(best, whole - keep, axis=1)[:, whole - keep] - error)
+        i, j = np.nonzero(~(sims < bound[:, None].astype(np.float32)))
+        found.append((i, j + at))
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    sims = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + PAIRS]], y[j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS)] or [np.zeros(0)]).round(9)
+    order = np.lexsort((ys[j], -sims, i))
+    i, j, sims = i[order], j[order], sims[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < keep], j[place < keep], sims[place < keep]
+
+
+def _searched(src: DataFrame, tgt: DataFrame, keep: int, block: int) -> DataFrame:
+    """src(id, vec), tgt(id, vec) -> (id, nid, sim): the `keep` best inner products of each pair of blocks. A block is held by a task, in proportion
+    to `block`; products are made tile by tile. There are at least four pairs of blocks a core, each a task but for chance."""
+    some = math.ceil(math.sqrt(4 * src.sparkSession.sparkContext.defaultParallelism))
+    sb, tb = (max(-(-side.count() // block), some) for side in (src, tgt))
     place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    a = src.select("id", V.normalised(F.col("vec")).alias("vec"), place(sb).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("tb"))
-    b = tgt.select("id", V.normalised(F.col("vec")).alias("vec"), place(tb).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(sb - 1))).alias("sb"))
-    keep = k + 1 if same else k
+    # both sides may be one table: each gets columns of its own
+    a = src.select(F.col("id").alias("id"), F.col("vec").alias("vec"), place(sb).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("tb"))
+    b = tgt.select(F.col("id").alias("id"), F.col("vec").alias("vec"), place(tb).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(sb - 1))).alias("sb"))
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out = []
         if x.num_rows and y.num_rows:
-            # the order of terms is that of the SQL form, so sums agree to rounding
-            xs, ys = x.column("id").to_numpy(), y.column("id").to_numpy()
-            sims = np.round(_matrix(x) @ _matrix(y).T, 9)
-            for i, row in enumerate(sims):
-                top = np.argpartition(-row, min(keep, len(row)) - 1)[:keep]
-                at = np.flatnonzero(row >= row[top].min())
-                at = at[np.lexsort((ys[at], -row[at]))][:keep]
-                out[0].extend([xs[i]] * len(at))
-                out[1].extend(ys[at].tolist())
-                out[2].extend(row[at].tolist())
-        return pa.table({"id": pa.array(out[0], pa.int64()), "nid": pa.array(out[1], pa.int64()), "sim": pa.array(out[2], pa.float64())})
-
-    found = a.groupBy("sb", "tb").cogroup(b.groupBy("sb", "tb")).applyInArrow(best, "id long, nid long, sim double")
-    if same:
-        found = found.filter("id <> nid")
+            xs, ys, xm, ym = x.column("id").to_numpy(), y.column("id").to_numpy(), _matrix(x), _matrix(y)
+            for at in range(0, len(xm), TILE[0]):
+                i, j, sims = _kept(xm[at : at + TILE[0]], ym, ys, keep)
+                out.append((xs[i + at], ys[j], sims))
+        cols = [np.concatenate([o[k] for o in out]) if out else [] for k in range(3)]
+        return pa.table({"id": pa.array(cols[0], pa.int64()), "nid": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
+
+    a, b = (side.repartition(4 * sb * tb, "sb", "tb") for side in (a, b))  # a given number, as small inputs would be put together in few tasks
+    return a.groupBy("sb", "tb").cogroup(b.groupBy("sb", "tb")).applyInArrow(best, "id long, nid long, sim double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "nid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def neighbours(src: DataFrame, tgt: DataFrame, k: int, block: int = BLOCK, same: bool = False) -> DataFrame:
+    """src(id, vec), tgt(id, vec) -> (id, nid, sim, rank): the k best cosines, ties by id. same: an id isn't its own neighbour."""
+    a, b = (side.select("id", V.normalised(F.col("vec")).alias("vec")) for side in (src, tgt))
+    found = _searched(a, b, k + 1 if same else k, block)
+    return _ranked(found.filter("id <> nid") if same else found, k)
+
+
 def mean_similarity(src: DataFrame, tgt: DataFrame, k: int = 10) -> DataFrame:
     """(id, r): mean of the k best similarities."""
     return neighbours(src, tgt, k).groupBy("id").agg(F.avg("sim").alias("r"))
@@ -78,27 +113,9 @@ def exact_csls(src: DataFrame, tgt: DataFrame, k: int = 10, top: int = 1) -> Dat
     return found.join(r_src, "id").select("id", "nid", (F.col("sim") - F.col("r")).alias("score"), "rank")
 
 
-def _inner(src: DataFrame, tgt: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _inner(src: DataFrame, tgt: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """As neighbours, by inner product of the vectors as they are."""
-    sb, tb = max(1, -(-src.count() // block)), max(1, -(-tgt.count() // block))
-    place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    a = src.select("id", "vec", place(sb).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("tb"))
-    b = tgt.select("id", "vec", place(tb).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(sb - 1))).alias("sb"))
-
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if x.num_rows and y.num_rows:
-            xs, ys = x.column("id").to_numpy(), y.column("id").to_numpy()
-            for i, row in enumerate(np.round(_matrix(x) @ _matrix(y).T, 9)):
-                at = np.lexsort((ys, -row))[:k]
-                out[0].extend([xs[i]] * len(at))
-                out[1].extend(ys[at].tolist())
-                out[2].extend(row[at].tolist())
-        return pa.table({"id": pa.array(out[0], pa.int64()), "nid": pa.array(out[1], pa.int64()), "sim": pa.array(out[2], pa.float64())})
-
-    found = a.groupBy("sb", "tb").cogroup(b.groupBy("sb", "tb")).applyInArrow(best, "id long, nid long, sim double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "nid"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _ranked(_searched(src, tgt, k, block), k)
 
 
 def mutual(src: DataFrame, tgt: DataFrame) -> DataFrame:
