@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 from corpuslab.functions import vectors as V
 from corpuslab.operators import affixes as A
+from corpuslab.sources.shared import materialise
+
+#: A side is broadcast only if it was counted and has at most this many (narrow) rows.
+BROADCAST_ROWS = 200_000
 
 
 def token_features(tokens: DataFrame, orders: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -42,6 +46,21 @@ def ppmi(matrix: DataFrame, row: tuple[str, ...], col: str = "feat", x: str = "x
     return j.select(*row, col, x, F.greatest(value, F.lit(0.0)).alias("ppmi"))
 
 
+def summed_ppmi(words: DataFrame) -> DataFrame:
+    """words(lang, word) distinct -> (feat, words, ppmi): ppmi of words and n-grams added up by n-gram. A word's n-grams are counted inside its row, so
+    only the n-grams' own sums are moved."""
+    words = words.select("lang", "word")
+    grams = T.char_ngrams(F.lower("word"))
+    rows = words.select(F.explode(T.gram_counts(grams)).alias("g"), F.size(grams).alias("r")).select("r", "g.feat", "g.x")
+    # n-grams with the same x and r have the same value: all is told by this table
+    alike = materialise(rows.groupBy("feat", "x", "r").agg(F.count("*").alias("n")), "alike")
+    cols = materialise(alike.groupBy("feat").agg(F.sum(F.col("n") * F.col("x")).alias("c")), "features")
+    n, total = cols.agg(F.count("*"), F.sum("c").cast("double")).first()
+    value = F.log(F.greatest(F.col("x") * F.lit(total) / (F.col("r") * F.col("c")), F.lit(1e-9)))
+    joined = alike.join(F.broadcast(cols) if n <= BROADCAST_ROWS else cols, "feat")
+    return joined.groupBy("feat").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.greatest(value, F.lit(0.0))).alias("ppmi"))
+
+
 def top_features(matrix: DataFrame, most: int) -> DataFrame:
     """The features of most tokens, numbered; `most` bounds the Gram matrix."""
     top = matrix.groupBy("feat").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feat").limit(most)

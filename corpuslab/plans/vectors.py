@@ -125,11 +125,8 @@ GRAMS = f"""{S.WORDS}, w AS (SELECT DISTINCT lang, word FROM words),
 @query(f"""WITH {GRAMS} SELECT feat, count(*) AS words, round(sum(greatest(ln(greatest(x * t / (r * c), 1e-9)), 0)), 4) AS ppmi FROM x JOIN r USING (lang, word) JOIN c USING (feat), t GROUP BY feat""")
 def ppmi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG11 AGG12 M23: positive pointwise mutual information of words and n-grams, summed by n-gram."""
-    from corpuslab.functions import text as T
-
     w = C.document_words(C.table(spark, sf_dir, "documents")).select("lang", "word").distinct()
-    x = w.select("lang", "word", F.explode(T.char_ngrams(F.lower("word"))).alias("feat")).groupBy("lang", "word", "feat").agg(F.count("*").alias("x"))
-    return E.ppmi(x, ("lang", "word")).groupBy("feat").agg(F.count("*").alias("words"), F.round(F.sum("ppmi"), 4).alias("ppmi"))
+    return E.summed_ppmi(w).select("feat", "words", F.round("ppmi", 4).alias("ppmi"))
 
 
 @query()
